@@ -31,7 +31,8 @@ def vocabulary(labels: DataFrame, max_labels: int = MAX_LABELS) -> Column:
         F.col("category").cast("int").alias("category"),
         F.collect_list(F.col("label_idx").cast("int")).over(whole).alias("twins"),
     )
-    row = entries.agg(
+    # One row more than allowed is enough to tell that there are too many; nothing is cut off.
+    row = entries.limit(max_labels + 1).agg(
         F.count("*").alias("n"),
         F.max("label_idx").alias("top"),
         F.array_sort(F.collect_list(F.struct("label_idx", "name", "category", "twins"))).alias("all"),
@@ -61,8 +62,9 @@ def threshold_scores(
         character = (category == CHARACTER) & (p >= F.lit(character_threshold).cast("float"))
         return ((general | character) & ~F.isnan(p)) | (category == RATING)
 
-    paired = F.transform(probs, lambda p, i: F.struct(p.alias("p"), F.get(vocab, i).alias("label")))
-    passed = F.filter(paired, lambda x: passes(x["label"]["category"], x["p"]))
+    # Scores and labels side by side; a score beyond the last label has no label and falls out.
+    paired = scores.withColumn("_pairs", F.arrays_zip(probs.alias("p"), vocab.alias("label")))
+    passed = F.filter("_pairs", lambda x: passes(x["label"]["category"], x["p"]))
 
     def ranked(x: Column) -> Column:
         label = x["label"]
@@ -85,7 +87,7 @@ def threshold_scores(
             lambda x: F.struct(x["tag"].alias("tag"), x["conf"].alias("conf")),
         )
 
-    return scores.withColumn("_hits", hits).select(
+    return paired.withColumn("_hits", hits).select(
         *scores.columns,
         of(GENERAL).alias("general_tags"),
         of(CHARACTER).alias("character_tags"),
