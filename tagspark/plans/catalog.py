@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagspark.plans import queue_queries, tag_queries  # noqa: F401
+from tagspark.plans import queue_queries, run_queries, tag_queries  # noqa: F401
 from tagspark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
