@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tagspark.plans import queue_queries, run_queries, tag_queries  # noqa: F401
-from tagspark.plans.registry import ORACLE, QUERIES
+from tagspark.plans import (
+    browse_queries,
+    queue_queries,
+    run_queries,
+    stream_queries,
+    tag_queries,
+)
+from tagspark.plans.registry import QUERIES, checking_sql
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = [
+    "QUERIES",
+    "browse_queries",
+    "checking_sql",
+    "queue_queries",
+    "run_queries",
+    "stream_queries",
+    "tag_queries",
+]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tagspark.plans.library import TABLES, VIEW_SQL, Library
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 _PLAIN = {t: t for t in TABLES}
 
@@ -61,7 +61,12 @@ def query(*reads: str, sql: str | None = None) -> Callable:
         name = build.__name__
         QUERIES[name] = lambda spark, folder: build(Library(spark, folder))
         if sql is not None:
-            ORACLE[name] = with_parts(sql, reads)
+            _SQL[name] = (sql, reads)
         return build
 
     return register
+
+
+def checking_sql() -> dict[str, str]:
+    """Query name -> complete SQL text."""
+    return {name: with_parts(sql, reads) for name, (sql, reads) in _SQL.items()}
