@@ -32,7 +32,8 @@ def is_blank(c: Column | str) -> Column:
 
 def normalize_tag(c: Column | str) -> Column:
     """Comparison form of a tag: underscores and hyphens are spaces, ends stripped, lower case."""
-    return F.lower(strip(F.translate(_col(c), "_-", "  ")))
+    spaced = F.replace(F.replace(_col(c), F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" "))
+    return F.lower(strip(spaced))
 
 
 def normalize_text(value: str) -> str:
@@ -77,12 +78,12 @@ def tier_of(name: str, tiers: Mapping[str, int] = MODEL_TIERS) -> int:
 def marker_slug(tag: Column | str, prefix: str = MARKER_PREFIX) -> Column:
     """Model name inside a marker tag, or null when the tag is no marker.
 
-    The prefix is compared without regard to case and always ends in a colon.
+    The prefix is compared without regard to case and always ends in a colon. One pattern reads
+    the tag once, which keeps generated code short where tags are computed.
     """
-    start = marker_start(prefix)
-    raw = strip(tag)
-    slug = strip(F.substring(raw, len(start) + 1, 2_147_483_647))
-    return F.when(F.startswith(F.lower(raw), F.lit(start)) & (F.length(slug) > 0), slug)
+    space = f"[{WHITESPACE}]*"
+    pattern = rf"(?siu)^{space}\Q{marker_start(prefix)}\E{space}(.*?){space}$"
+    return F.nullif(F.regexp_extract(_col(tag), pattern, 1), F.lit(""))
 
 
 def marker_start(prefix: str = MARKER_PREFIX) -> str:

@@ -17,6 +17,7 @@ from tagspark.defaults import (
 )
 from tagspark.functions.text import (
     marker_slug,
+    marker_start,
     may_be_marker,
     model_marker,
     model_tier,
@@ -93,10 +94,14 @@ def file_facts(files: DataFrame, file_tags: DataFrame, rules: SkipRules, hot: Co
     Known files and marker tags go through one aggregation, so both reach the queue with a single
     shuffle. Only marker tags leave the scan.
     """
-    same = F.col("tag_norm") == normalize_text(rules.marker) if rules.marker else F.lit(False)
+    current = normalize_text(rules.marker)
+    same = F.col("tag_norm") == current if current else F.lit(False)
+    of_interest = may_be_marker("tag_norm", rules.marker_prefix)
+    if current and not current.startswith(normalize_text(marker_start(rules.marker_prefix))):
+        of_interest = of_interest | same
     marked = (
         tags_of_service(file_tags, rules.service_key)
-        .where(same | may_be_marker("tag_norm", rules.marker_prefix))
+        .where(of_interest)
         .select("file_id", same.cast("int").alias("same"), marker_slug("tag", rules.marker_prefix).alias("slug"))
         .select("file_id", F.lit(0).alias("known"), "same", model_tier("slug", rules.tiers).alias("tier"))
     )

@@ -11,7 +11,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from tagspark.defaults import CHARACTER_THRESHOLD, GENERAL_THRESHOLD, SCORE_BATCH
 from tagspark.operators.planning import SkipRules, skip_decisions
 from tagspark.operators.scores import build_results, threshold_scores
-from tagspark.operators.skew import hot_keys, lookup_join
+from tagspark.operators.skew import lookup_join
+from tagspark.session import cut_lineage
 
 
 def forgiving(make_predict_fn: Callable) -> Callable:
@@ -78,7 +79,7 @@ def score_pending(
     Skipped files never reach the classifier, and a file that is queued twice is scored once.
     `media` holds file_id and the input columns.
     """
-    decisions = skip_decisions(queue, files, file_tags, rules)
+    decisions = cut_lineage(skip_decisions(queue, files, file_tags, rules).drop("missing"), "decisions")
     wanted = decisions.where(F.col("skip_reason").isNull()).select("file_id").distinct()
     scored = score_files(
         media.join(wanted, "file_id", "left_semi"), make_predict_fn, inputs, batch_size, input_tensor_shapes
@@ -89,8 +90,7 @@ def score_pending(
     ).select("file_id", "general_tags", "character_tags", "rating_tags", "tags", "stale_markers_removed")
     kept = decisions.select("pos", "file_id", "skip_reason")
     skipped = F.col("skip_reason").isNotNull()
-    hot = hot_keys(queue, "file_id")
-    joined = lookup_join(kept, results, "file_id", "pos", hot=hot).where(skipped | F.col("tags").isNotNull())
+    joined = lookup_join(kept, results, "file_id", "pos").where(skipped | F.col("tags").isNotNull())
     empty = F.array().cast("array<string>")
     return joined.select(
         "pos",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagspark.defaults import CHUNK_ROWS
 from tagspark.functions import loglines as L
 from tagspark.functions.text import strip
-from tagspark.operators.ordered import chunk_of, running_totals
+from tagspark.operators.ordered import chunk_of
 from tagspark.session import cut_lineage
 
 CONFIG_LOOK_BACK = 40
@@ -19,6 +19,7 @@ METRICS_LOOK_BACK = 7
 RATES_LOOK_AHEAD = 4
 SAMPLE_ERRORS = 8
 SAMPLE_CHARS = 500
+_SUMS = [f"sum_{name}" for name in L.SCORING_FIELDS]
 
 
 def log_digest(lines: DataFrame) -> DataFrame:
@@ -110,64 +111,50 @@ def parse_sessions(
     searches that many lines before it when there is none).
     """
     # The log is read once; all that follows works on the few lines kept here.
-    marked = cut_lineage(_marked_lines(lines))
-    group = ["run_id"]
-    counts = {
-        "n_prefetch": F.col("is_prefetch").cast("bigint"),
-        "n_perf": F.col("is_perf").cast("bigint"),
-        "n_queue": F.col("is_queue").cast("bigint"),
+    marked = cut_lineage(_marked_lines(lines), "log-lines")
+    anchors = _anchors(marked, lookbehind, chunk_rows)
+    starts = {
+        "start_line": "line_no",
+        "_start_text": "line",
+        "_config": "_config_text",
+        "_queue_at": "_queue_at",
+        "_queue_text": "_queue_text",
+        **{f"_from_{n}": f"from_{n}" for n in _SUMS},
+        **{f"_run_{n}": f"run_{n}" for n in _SUMS},
+    }
+    ends = {
+        "end_line": "line_no",
+        "_end_text": "line",
+        "_metrics_at": "_metrics_at",
+        "_metrics_text": "_metrics_text",
+        "_rates_text": "_rates_text",
+        **{f"_to_{n}": f"upto_{n}" for n in _SUMS},
     }
-    totals = [f"sum_{name}" for name in L.SCORING_FIELDS]
-    upto = {f"upto_{n}": F.col(n) for n in totals}
-    totalled = running_totals(marked, "line_no", {**counts, **upto}, group, chunk_rows=chunk_rows)
 
-    reach = max(CONFIG_LOOK_BACK, METRICS_LOOK_BACK, RATES_LOOK_AHEAD, lookbehind)
-    around = _lookups(marked, reach, lookbehind, chunk_rows)
-    anchors = totalled.where(F.col("is_prefetch") | F.col("is_perf")).join(
-        around, ["run_id", "line_no"], "left"
-    )
+    def columns(names: dict[str, str]) -> Column:
+        return F.struct(*[F.col(column).alias(name) for name, column in names.items()])
+
     if pairing == "next":
-        # A prefetch line that follows k perf lines ends at perf line k + 1.
-        number = F.col("n_perf") + 1 - F.when(F.col("is_perf"), 1).otherwise(0)
-        start_key = number
+        # A prefetch line that follows k perf lines ends at perf line k + 1; several may share it.
+        first = anchors.where("is_prefetch").select(
+            "run_id", F.col("n_prefetch").alias("session"), (F.col("n_perf") + 1).alias("_pair"), columns(starts).alias("s")
+        )
+        second = anchors.where("is_perf").select("run_id", F.col("n_perf").alias("_pair"), columns(ends).alias("e"))
+        paired = first.join(second, ["run_id", "_pair"], "left")
     else:
-        start_key = F.col("n_prefetch")
-
-    before = [(F.col(f"upto_{n}") - F.col(n)).alias(f"_from_{n}") for n in totals]
-    starts = anchors.where("is_prefetch").select(
-        "run_id",
-        F.col("n_prefetch").alias("session"),
-        start_key.alias("_pair"),
-        F.col("line_no").alias("start_line"),
-        F.col("line").alias("_start_text"),
-        (F.col("n_queue") + 1 - F.when(F.col("is_queue"), 1).otherwise(0)).alias("_next_queue"),
-        *before,
-        F.col("config_line").alias("_config"),
-    )
-    ends = anchors.where("is_perf").select(
-        "run_id",
-        F.col("n_perf").alias("_pair"),
-        F.col("line_no").alias("end_line"),
-        F.col("line").alias("_end_text"),
-        *[F.col(f"upto_{n}").alias(f"_to_{n}") for n in totals],
-        F.col("metrics_line").alias("_metrics_at"),
-        "_metrics_text",
-        "_rates_text",
-    )
-    queues = totalled.where("is_queue").select(
-        "run_id",
-        F.col("n_queue").alias("_next_queue"),
-        F.col("line_no").alias("_queue_at"),
-        F.col("line").alias("_queue_text"),
-    )
-    whole = marked.groupBy("run_id").agg(*[F.sum(n).alias(f"_run_{n}") for n in totals])
-
-    joined = (
-        starts.join(ends, ["run_id", "_pair"], "left")
-        .join(queues, ["run_id", "_next_queue"], "left")
-        .join(whole, "run_id", "left")
+        # Both lines carry the number of the session, so one grouping brings them together.
+        numbered = anchors.withColumn("session", F.when(F.col("is_prefetch"), F.col("n_prefetch")).otherwise(F.col("n_perf")))
+        paired = (
+            numbered.groupBy("run_id", "session")
+            .agg(
+                F.max(F.when(F.col("is_prefetch"), columns(starts))).alias("s"),
+                F.max(F.when(~F.col("is_prefetch"), columns(ends))).alias("e"),
+            )
+            .where(F.col("s").isNotNull())
+        )
+    return paired.select("run_id", "session", "s.*", "e.*").select(
+        "run_id", "session", "start_line", "end_line", *_session_fields(_SUMS)
     )
-    return joined.select("run_id", "session", "start_line", "end_line", *_session_fields(totals))
 
 
 def _session_fields(totals: list[str]) -> list[Column]:
@@ -205,13 +192,41 @@ def _session_fields(totals: list[str]) -> list[Column]:
     ]
 
 
-def _lookups(marked: DataFrame, reach: int, lookbehind: int, chunk_rows: int) -> DataFrame:
-    """Nearby lines of each prefetch and perf line, by distance in lines.
+def _anchors(marked: DataFrame, lookbehind: int, chunk_rows: int) -> DataFrame:
+    """Prefetch and perf lines with their numbers, running totals and the lines looked up.
 
-    Chunks see `reach` lines of their neighbours on both sides, so every frame is complete.
+    Lines are spread by (run, chunk). A chunk also sees the lines within reach on both sides, so
+    every look-up frame is complete; totals count its own lines only. What lies before or after a
+    chunk comes from a table with one row per chunk.
     """
+    reach = max(CONFIG_LOOK_BACK, METRICS_LOOK_BACK, RATES_LOOK_AHEAD, lookbehind)
     size = max(chunk_rows, 2 * reach + 1)
     chunk, offset = chunk_of("line_no", size), F.col("line_no") % size
+    home = F.col("_home") == F.col("_chunk")
+    measures = {
+        "n_prefetch": F.col("is_prefetch").cast("bigint"),
+        "n_perf": F.col("is_perf").cast("bigint"),
+        **{f"upto_{n}": F.col(n) for n in _SUMS},
+    }
+
+    def text(flag: str) -> Column:
+        return F.when(F.col(flag), F.struct("line_no", "line"))
+
+    # Per chunk: totals before it and over the run, and the first queue line after it.
+    chunks = marked.groupBy("run_id", chunk.alias("_chunk")).agg(
+        *[F.sum(v).alias(f"_all_{n}") for n, v in measures.items()], F.min(text("is_queue")).alias("_queue")
+    )
+    run = Window.partitionBy("run_id")
+    along = run.orderBy("_chunk")
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    edges = chunks.select(
+        "run_id",
+        "_chunk",
+        *[F.sum(f"_all_{n}").over(before).alias(f"_before_{n}") for n in measures],
+        *[F.sum(f"_all_upto_{n}").over(run).alias(f"run_{n}") for n in _SUMS],
+        F.first("_queue", ignorenulls=True).over(after).alias("_later_queue"),
+    )
+
     copies = F.array_compact(
         F.array(
             chunk,
@@ -219,32 +234,41 @@ def _lookups(marked: DataFrame, reach: int, lookbehind: int, chunk_rows: int) ->
             F.when((offset < reach) & (chunk > 0), chunk - 1),
         )
     )
-    wanted = ["is_prefetch", "is_perf", "is_metrics", "is_rates", "is_config"]
-    useful = F.lit(False)
-    for name in wanted:
-        useful = useful | F.col(name)
-    spread = marked.where(useful).select(
-        "run_id", "line_no", "line", *wanted, chunk.alias("_home"), F.explode(copies).alias("_chunk")
-    )
+    spread = marked.withColumn("_home", chunk).select("*", F.explode(copies).alias("_chunk"))
     by_line = Window.partitionBy("run_id", "_chunk").orderBy("line_no")
+    upto_here = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    from_here = by_line.rowsBetween(0, Window.unboundedFollowing)
 
-    def text(flag: str) -> Column:
-        return F.when(F.col(flag), F.struct("line_no", "line"))
-
-    config = F.first(text("is_config"), ignorenulls=True).over(by_line.rangeBetween(-CONFIG_LOOK_BACK, 0))
-    metrics = F.last(text("is_metrics"), ignorenulls=True).over(by_line.rangeBetween(-METRICS_LOOK_BACK, 0))
     rates = F.first(text("is_rates"), ignorenulls=True).over(by_line.rangeBetween(0, RATES_LOOK_AHEAD))
     if lookbehind > 0:
         earlier = F.last(text("is_rates"), ignorenulls=True).over(by_line.rangeBetween(-int(lookbehind), 0))
         rates = F.coalesce(rates, earlier)
-    seen = spread.select("*", config.alias("_c"), metrics.alias("_m"), rates.alias("_r"))
-    return seen.where((F.col("is_prefetch") | F.col("is_perf")) & (F.col("_home") == F.col("_chunk"))).select(
+    seen = spread.select(
+        "*",
+        *[F.sum(F.when(home, v)).over(upto_here).alias(f"_in_{n}") for n, v in measures.items()],
+        F.first(F.when(home, text("is_queue")), ignorenulls=True).over(from_here).alias("_own_queue"),
+        F.first(text("is_config"), ignorenulls=True).over(by_line.rangeBetween(-CONFIG_LOOK_BACK, 0)).alias("_config"),
+        F.last(text("is_metrics"), ignorenulls=True).over(by_line.rangeBetween(-METRICS_LOOK_BACK, 0)).alias("_metrics"),
+        rates.alias("_rates"),
+    )
+    found = seen.where(home & (F.col("is_prefetch") | F.col("is_perf"))).join(edges, ["run_id", "_chunk"], "left")
+    queue = F.coalesce("_own_queue", "_later_queue")
+    totals = {n: F.col(f"_in_{n}") + F.coalesce(f"_before_{n}", F.lit(0)) for n in measures}
+    return found.select(
         "run_id",
         "line_no",
-        F.col("_c.line").alias("config_line"),
-        F.col("_m.line_no").alias("metrics_line"),
-        F.col("_m.line").alias("_metrics_text"),
-        F.col("_r.line").alias("_rates_text"),
+        "line",
+        "is_prefetch",
+        "is_perf",
+        *[total.alias(n) for n, total in totals.items()],
+        *[(totals[f"upto_{n}"] - F.col(n)).alias(f"from_{n}") for n in _SUMS],
+        *[f"run_{n}" for n in _SUMS],
+        queue["line_no"].alias("_queue_at"),
+        queue["line"].alias("_queue_text"),
+        F.col("_config.line").alias("_config_text"),
+        F.col("_metrics.line_no").alias("_metrics_at"),
+        F.col("_metrics.line").alias("_metrics_text"),
+        F.col("_rates.line").alias("_rates_text"),
     )
 
 

@@ -8,6 +8,7 @@ from tagspark.functions import numbers, text
 from tagspark.operators import metrics, planning, splits
 from tagspark.plans.library import Library
 from tagspark.plans.registry import part, query
+from tagspark.session import cut_lineage
 from tagspark.sources.media import route_media
 from tagspark.sources.metadata import last_by_id
 
@@ -243,13 +244,18 @@ def learning_split_fallback(lib: Library) -> DataFrame:
     return splits.learning_size_bytes(lib.queue, lib.files)
 
 
-def batched(lib: Library) -> DataFrame:
-    """Queue rows in run order with their batch; the learning part is the first rows of that order."""
-    decisions = decided(lib)
-    cut = decisions.agg(F.count_if(F.col("skip_reason").isNull())).scalar()
+def batched(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """Queue rows in run order with their batch, and the plan counts.
+
+    The learning part is the first rows of the run order. Decisions are needed for the counts and
+    for the order, so they are written once.
+    """
+    decisions = cut_lineage(decided(lib), "decisions")
+    plan = planning.plan_counts(decisions)
     split = splits.learning_size(lib.queue).select("learning_count").scalar()
     ordered = planning.reorder_infer_first(decisions)
-    return splits.assign_batches(ordered, BATCH_SIZE, cut, split, TAIL_CAP, tag_all=True)
+    cut = plan.select("infer_total").scalar()
+    return splits.assign_batches(ordered, BATCH_SIZE, cut, split, TAIL_CAP, tag_all=True), plan
 
 
 part(
@@ -279,7 +285,7 @@ part(
 
 @query("batched", sql="SELECT pos, file_id, ordinal, batch FROM batched")
 def assign_batches(lib: Library) -> DataFrame:
-    return batched(lib).select("pos", "file_id", "ordinal", "batch")
+    return batched(lib)[0].select("pos", "file_id", "ordinal", "batch")
 
 
 part(
@@ -292,14 +298,15 @@ part(
 )
 
 
-def summarized(lib: Library) -> DataFrame:
+def summarized(lib: Library) -> tuple[DataFrame, DataFrame]:
+    rows, plan = batched(lib)
     stale = F.when(F.col("skip_reason").isNull(), F.col("file_id") % 3).otherwise(F.lit(0))
-    return metrics.batch_summary(batched(lib).withColumn("stale_markers_removed", stale))
+    return metrics.batch_summary(rows.withColumn("stale_markers_removed", stale)), plan
 
 
 @query("summary", sql="SELECT * FROM summary")
 def batch_summary(lib: Library) -> DataFrame:
-    return summarized(lib)
+    return summarized(lib)[0]
 
 
 @query(
@@ -314,9 +321,9 @@ def batch_summary(lib: Library) -> DataFrame:
       CAST(sum(stale_removed) OVER w AS BIGINT) AS total_stale_removed FROM summary WINDOW w AS (ORDER BY batch)), run_size""",
 )
 def progress_counters(lib: Library) -> DataFrame:
-    plan = planning.queue_plan(lib.queue, lib.files, lib.file_tags, RULES)
-    total = lib.queue.agg(F.count("*")).scalar()
-    return metrics.progress(summarized(lib), BATCH_SIZE, total, plan.select("infer_total").scalar())
+    batches, plan = summarized(lib)
+    total, infer_total = plan.select("queue_total").scalar(), plan.select("infer_total").scalar()
+    return metrics.progress(cut_lineage(batches, "batches"), BATCH_SIZE, total, infer_total)
 
 
 # ---- scalar functions over given columns ------------------------------------------------------
