@@ -22,6 +22,10 @@ PERF_MARK = "perf tagging_session"
 SHUTDOWN_MARK = "perf process_shutdown"
 SCORING_MARK = "tag_files metrics"
 SCORING_WALL_MARK = "wall_onnx_predict_s="
+# any of the marks that make up a session
+SESSION_LINES = "|".join(
+    (PREFETCH_MARK, PERF_MARK, QUEUE_MARK, METRICS_MARK, RATES_MARK, CONFIG_MARK, SCORING_MARK)
+)
 
 # digest counter -> texts, any of which counts the line once
 DIGEST_TEXTS = {
@@ -37,15 +41,15 @@ DIGEST_TEXTS = {
     "files_metadata_fetched": ("files metadata_hydrus", "stats op=hydrus_metadata_fetch"),
     "application_ready_lines": ("Application ready host=",),
 }
-# digest counter -> pattern
-DIGEST_PATTERNS = {
-    "memory_cache_hit_true": r"\bmemory_cache_hit=True\b",
-    "memory_cache_hit_false": r"\bmemory_cache_hit=False\b",
-    "disk_cache_hit_true": r"\bdisk_cache_hit=True\b",
-    "disk_cache_hit_false": r"\bdisk_cache_hit=False\b",
-    "disk_cache_hit_na": r"\bdisk_cache_hit=n/a\b",
-    "hub_fetch_true": r"\bhub_fetch_this_call=True\b",
-    "hub_fetch_false": r"\bhub_fetch_this_call=False\b",
+# digest counter -> text that must stand between word boundaries
+DIGEST_WORDS = {
+    "memory_cache_hit_true": "memory_cache_hit=True",
+    "memory_cache_hit_false": "memory_cache_hit=False",
+    "disk_cache_hit_true": "disk_cache_hit=True",
+    "disk_cache_hit_false": "disk_cache_hit=False",
+    "disk_cache_hit_na": "disk_cache_hit=n/a",
+    "hub_fetch_true": "hub_fetch_this_call=True",
+    "hub_fetch_false": "hub_fetch_this_call=False",
 }
 
 # one record per line kind: field name and type in group order
@@ -165,8 +169,9 @@ def digest_counters(line: Column | str) -> dict[str, Column]:
         for needle in needles:
             hit = hit | F.contains(text, F.lit(needle))
         hits[name] = hit
-    for name, pattern in DIGEST_PATTERNS.items():
-        hits[name] = F.rlike(text, F.lit(pattern))
+    for name, word in DIGEST_WORDS.items():
+        # The pattern runs only on lines that hold the text at all.
+        hits[name] = F.contains(text, F.lit(word)) & F.rlike(text, F.lit(rf"\b{word}\b"))
     return hits
 
 

@@ -74,23 +74,20 @@ def _marked_lines(lines: DataFrame) -> DataFrame:
         "is_config": _has(L.CONFIG_MARK),
         "is_scoring": _has(L.SCORING_MARK) & _has(L.SCORING_WALL_MARK),
     }
-    useful, has_text = F.lit(False), F.lit(False)
-    for name, flag in flags.items():
-        useful = useful | flag
-        has_text = has_text if name == "is_scoring" else has_text | flag
-    record = L.metrics_record("line")
-    numbers = {
-        f"sum_{name}": F.when(flags["is_scoring"], F.coalesce(record[name], F.lit(0).cast(kind))).otherwise(
-            F.lit(0).cast(kind)
-        )
+    useful = lines.where(F.rlike("line", F.lit(L.SESSION_LINES))).select(
+        "run_id", "line_no", "line", *[flag.alias(name) for name, flag in flags.items()]
+    )
+    only_scoring = F.col("is_scoring")
+    for name in flags:
+        if name != "is_scoring":
+            only_scoring = only_scoring & ~F.col(name)
+    record = L.metrics_record(F.when(F.col("is_scoring"), F.col("line")))
+    numbers = [
+        F.coalesce(record[name], F.lit(0).cast(kind)).alias(f"sum_{name}")
         for name, (_, kind) in L.SCORING_FIELDS.items()
-    }
-    return lines.where(useful).select(
-        "run_id",
-        "line_no",
-        F.when(has_text, F.col("line")).alias("line"),
-        *[flag.alias(name) for name, flag in flags.items()],
-        *[value.alias(name) for name, value in numbers.items()],
+    ]
+    return useful.select(
+        "run_id", "line_no", F.when(~only_scoring, F.col("line")).alias("line"), *flags, *numbers
     )
 
 

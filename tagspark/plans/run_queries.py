@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tagspark.functions import loglines, numbers
-from tagspark.functions.loglines import DIGEST_PATTERNS, DIGEST_TEXTS
+from tagspark.functions.loglines import DIGEST_TEXTS, DIGEST_WORDS
 from tagspark.operators import metrics, sessions
 from tagspark.operators.snapshot import session_snapshot
 from tagspark.plans.library import Library
@@ -247,8 +247,8 @@ def _digest_columns() -> str:
     for name, needles in DIGEST_TEXTS.items():
         hit = " OR ".join(f"contains(line, '{needle}')" for needle in needles)
         parts.append(f"count(*) FILTER (WHERE {hit}) AS {name}")
-    for name, pattern in DIGEST_PATTERNS.items():
-        parts.append(f"count(*) FILTER (WHERE regexp_matches(line, '{pattern}')) AS {name}")
+    for name, word in DIGEST_WORDS.items():
+        parts.append(f"count(*) FILTER (WHERE regexp_matches(line, '\\b{word}\\b')) AS {name}")
     return ", ".join(parts)
 
 
