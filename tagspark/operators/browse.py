@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagspark.defaults import CHUNK_ROWS, PAGE_SIZE
 from tagspark.functions.text import normalize_text, service_label
 from tagspark.operators.ordered import neighbours_of, with_ordinal
+from tagspark.operators.skew import lookup_join
 
 PREVIEW_IDS = 500
 _SIZE_UNITS = {"b": 1, "kb": 1024, "mb": 1024**2, "gb": 1024**3, "tb": 1024**4}
@@ -98,7 +99,7 @@ def select_page(ordered: DataFrame, selected: DataFrame, page: int, size: int =
 
 def ordered_selection(ordered: DataFrame, selected: DataFrame) -> DataFrame:
     """Queue rows of selected files, positions kept."""
-    return ordered.join(selected.select("file_id").distinct(), "file_id", "left_semi")
+    return lookup_join(ordered, selected.select("file_id").distinct(), "file_id", "pos", "left_semi")
 
 
 def prune_metadata(files: DataFrame, page: DataFrame, selected: DataFrame) -> DataFrame:

@@ -140,12 +140,17 @@ def build_tag_actions(
 
 
 def pending_files(results: DataFrame, diff: DataFrame) -> DataFrame:
-    """One row: results, pending (files with new tags left). Skipped results are never pending."""
+    """One row: results, pending (results with new tags left). Skipped results are never pending.
+
+    Results are counted per file first, so a file with very many results is one row in the join.
+    """
+    scored = F.count_if(F.coalesce(~F.col("skipped_inference"), F.lit(True)))
+    per_file = results.groupBy("file_id").agg(F.count("*").alias("n"), scored.alias("scored"))
     left = diff.where("is_new").select("file_id").distinct().withColumn("_new", F.lit(True))
-    scored = F.coalesce(~F.col("skipped_inference"), F.lit(True))
-    joined = results.join(left, "file_id", "left")
-    return joined.agg(
-        F.count("*").alias("results"), F.count_if(scored & F.col("_new")).alias("files_pending")
+    zero = F.lit(0)
+    return per_file.join(left, "file_id", "left").agg(
+        F.coalesce(F.sum("n"), zero).alias("results"),
+        F.coalesce(F.sum(F.when(F.col("_new"), F.col("scored"))), zero).alias("files_pending"),
     )
 
 

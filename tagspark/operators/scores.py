@@ -25,14 +25,14 @@ def vocabulary(labels: DataFrame, max_labels: int = MAX_LABELS) -> Column:
     """
     same_name = Window.partitionBy("category", "name").orderBy("label_idx")
     whole = same_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entries = labels.select(
+    # One row more than allowed is enough to tell that there are too many; nothing is cut off.
+    entries = labels.limit(max_labels + 1).select(
         F.col("label_idx").cast("int").alias("label_idx"),
         "name",
         F.col("category").cast("int").alias("category"),
         F.collect_list(F.col("label_idx").cast("int")).over(whole).alias("twins"),
     )
-    # One row more than allowed is enough to tell that there are too many; nothing is cut off.
-    row = entries.limit(max_labels + 1).agg(
+    row = entries.agg(
         F.count("*").alias("n"),
         F.max("label_idx").alias("top"),
         F.array_sort(F.collect_list(F.struct("label_idx", "name", "category", "twins"))).alias("all"),

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 SALT = "_salt"
-SALTS = 64
-HOT_SHARE = 0.01
+SALTS = 1_024
+HOT_SHARE = 0.001
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> Column:

@@ -15,6 +15,7 @@ from tagspark.defaults import (
 from tagspark.functions.numbers import fraction_of
 from tagspark.operators.ordered import running_totals, with_ordinal
 from tagspark.operators.skew import lookup_join
+from tagspark.session import cut_lineage
 
 
 def _within(n: Column, wanted: Column) -> Column:
@@ -74,7 +75,10 @@ def learning_size_bytes(
             "split_index",
             "learning_count",
         )
-    sized = sized_queue(queue, files)
+    return _size_info(cut_lineage(sized_queue(queue, files), "sized-queue"), share, cap, chunk_rows)
+
+
+def _size_info(sized: DataFrame, share: float, cap: int, chunk_rows: int) -> DataFrame:
     totals = sized.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("size").isNull()).alias("unsized"),
@@ -110,10 +114,16 @@ def learning_split_bytes(
     cap: int = LEARNING_CAP,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Queue rows with ordinal and segment; the learning part ends where the size share is reached."""
-    info = learning_size_bytes(queue, files, fraction, cap, chunk_rows)
-    size = info.select("learning_count").scalar()
-    return _segments(with_ordinal(queue, "pos", chunk_rows=chunk_rows), size)
+    """Queue rows with ordinal and segment; the learning part ends where the size share is reached.
+
+    The totals, the running sizes and the rows themselves all need the sizes, so the queue with its
+    sizes is written once.
+    """
+    if files is None:
+        return learning_split(queue, fraction, cap, chunk_rows)
+    sized = cut_lineage(sized_queue(queue, files), "sized-queue")
+    size = _size_info(sized, fraction_of(fraction), cap, chunk_rows).select("learning_count").scalar()
+    return _segments(with_ordinal(sized.drop("size"), "pos", chunk_rows=chunk_rows), size)
 
 
 def _as_col(value: int | Column) -> Column:

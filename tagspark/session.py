@@ -25,13 +25,18 @@ def build_session(app: str = "tagspark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for shared data; a temporary one only where none is named."""
+    """The folder the cluster names for shared data; an own temporary one only where none is named."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tagspark-")
-        spark.conf.set(CHECKPOINT_CONF, named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="tagspark-")
+    return _own_dirs[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -78,3 +78,15 @@ def test_lookup_join_with_a_hot_key(spark):
     assert hot == [5]
     salted = skew.salt_rows(left, "k", skew.hot_keys(left, "k"), "pos")
     assert salted.where("k = 5").select("_salt").distinct().count() == skew.SALTS
+    assert salted.where("k <> 5").select("_salt").distinct().count() == 1
+
+
+def test_shared_folder_is_the_named_one_or_an_own_one(spark, monkeypatch):
+    from tagspark import session
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert session.shared_dir(spark) == named
+    monkeypatch.setattr(session, "CHECKPOINT_CONF", "spark.no.such.setting")
+    assert session.shared_dir(spark) == session.shared_dir(spark) != named
+    assert session.cut_lineage(spark.range(5)).count() == 5

@@ -14,7 +14,7 @@ from tagspark.plans.library import Library
 
 FOLDER = "/root/testdata/sf0.001"
 # Queries that run streams, or write an intermediate table first, when they are built.
-EAGER = {n for n in QUERIES if n.startswith(("stream_", "log_session", "session_report", "assign_", "batch_", "progress_", "score_pending"))}
+EAGER = {n for n in QUERIES if n.startswith(("stream_", "log_session", "session_report", "assign_", "batch_", "progress_", "score_pending", "learning_split_"))}
 
 
 def plan_of(df) -> str:
