@@ -55,7 +55,8 @@ def score_files(
         batch_size=max(1, min(256, int(batch_size))),
         input_tensor_shapes=input_tensor_shapes,
     )
-    return df.withColumn("probs", predict(*inputs)).where(F.size("probs") > 0)
+    # Marked as nondeterministic, or the filter would move below and score every file again.
+    return df.withColumn("probs", predict.asNondeterministic()(*inputs)).where(F.size("probs") > 0)
 
 
 def score_pending(

@@ -36,7 +36,10 @@ def parse_metadata(rows: DataFrame, text: str = "value") -> DataFrame:
         F.try_variant_get("meta", "$.file_id", "bigint")
     )
     keep = [c for c in rows.columns if c != text]
-    return parsed.select(*keep, number.alias("file_id"), "meta").where(F.col("file_id").isNotNull())
+    # A row without an id yields no entry. Unlike a filter this is not moved below the parsing,
+    # where it would parse every text again.
+    entry = F.when(number.isNotNull(), F.array(F.struct(number.alias("file_id"), "meta")))
+    return parsed.select(*keep, F.inline(entry))
 
 
 def last_by_id(rows: DataFrame, order: str = "pos", key: str = "file_id") -> DataFrame:

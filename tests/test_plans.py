@@ -85,6 +85,12 @@ def test_skipped_files_never_reach_the_classifier(lib):
     rows = media.where("file_id % 2 = 0")
     plan = plan_of(scoring.score_files(rows, make, ["embedding"], input_tensor_shapes=[[64]]))
     assert plan.index("ArrowEvalPython") < plan.index("% 2) = 0")
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_each_file_is_scored_once(spark):
+    plan = plan_of(QUERIES["score_pending"](spark, FOLDER))
+    assert plan.count("ArrowEvalPython") == 1
 
 
 def test_plan_counts_equal_bucket_sizes(lib):
