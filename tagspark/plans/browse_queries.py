@@ -12,12 +12,13 @@ from tagspark.sources import metadata
 
 PAGE, PAGE_SIZE = 2, 50
 
-part("chosen", "SELECT DISTINCT file_id FROM queue WHERE file_id % 7 = 0", "queue")
+part("chosen", "SELECT file_id FROM files WHERE mime = 'video/mp4'", "files")
 part("page", f"SELECT pos, file_id FROM queue ORDER BY pos LIMIT {PAGE_SIZE} OFFSET {PAGE * PAGE_SIZE}", "queue")
 
 
 def chosen(lib: Library) -> DataFrame:
-    return lib.queue.where("file_id % 7 = 0").select("file_id").distinct()
+    """The selection of a user: all videos."""
+    return lib.files.where("mime = 'video/mp4'").select("file_id")
 
 
 @query(
@@ -121,8 +122,9 @@ def merge_suggestions(lib: Library) -> DataFrame:
 
 part(
     "halves",
-    "SELECT *, row_number() OVER (ORDER BY pos) - 1 AS ordinal, pos % 3 = 0 AS pending FROM queue",
+    "SELECT *, row_number() OVER (ORDER BY pos) - 1 AS ordinal, file_id IN (SELECT file_id FROM chosen) AS pending FROM queue",
     "queue",
+    "chosen",
 )
 
 
@@ -137,7 +139,7 @@ part(
 )
 def recovery_snapshot(lib: Library) -> DataFrame:
     ordered = browse.run_order(lib.queue)
-    pending = lib.queue.where("pos % 3 = 0")
+    pending = browse.ordered_selection(lib.queue, chosen(lib))
     snapshot = browse.recovery_snapshot(ordered, lib.files, pending)
 
     def joined(column: str):

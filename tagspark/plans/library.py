@@ -16,6 +16,7 @@ from tagspark.functions.text import normalize_tag
 SESSION_ROWS = 40
 RUN_LINES = 500
 
+# Every seventeenth order has no metadata, so a queue meets files it knows nothing about.
 FILES = """
 SELECT o_orderkey AS file_id, md5(CAST(o_orderkey AS STRING)) AS hash,
   CAST(floor(o_totalprice) AS BIGINT) AS size,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagspark.functions import numbers, text
 from tagspark.operators import metrics, planning, splits
+from tagspark.operators.browse import ordered_selection
 from tagspark.plans.library import Library
 from tagspark.plans.registry import part, query
 from tagspark.session import cut_lineage
@@ -196,10 +197,10 @@ def learning_split_count(lib: Library) -> DataFrame:
 
 def known_queue(lib: Library) -> DataFrame:
     """Queue rows whose file is known, so that every size is there."""
-    return lib.queue.where("file_id % 17 <> 0")
+    return ordered_selection(lib.queue, lib.files)
 
 
-part("known_queue", "SELECT * FROM queue WHERE file_id % 17 <> 0", "queue")
+part("known_queue", "SELECT * FROM queue WHERE file_id IN (SELECT file_id FROM files)", "queue", "files")
 part(
     "byte_totals",
     """SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS total_bytes,

@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.functions.text import normalize_tag
 from tagspark.operators.diff import filter_new_tags
-from tagspark.streaming.tables import BATCH, write_batches, written
-
-
-def _near(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows in the id range of a batch; a table sorted by id is then read only there."""
-    bounds = batch.agg(F.min("file_id").alias("lo"), F.max("file_id").alias("hi")).first()
-    return stored.where(F.col("file_id").between(bounds["lo"], bounds["hi"]))
+from tagspark.streaming.tables import BATCH, near, write_batches, written
 
 
 def _known(stored: DataFrame, path: str, before: int | None, service_key: str) -> DataFrame:
@@ -50,7 +44,7 @@ def stream_apply(
                 held.write.mode("overwrite").parquet(f"{path}_held/{BATCH}={batch_id}")
             rows = batch.where(~held_rows)
             known = _known(stored, path, batch_id, service_key)
-            fresh = filter_new_tags(rows, _near(known, rows), service_key)
+            fresh = filter_new_tags(rows, *near(rows, known), service_key)
             fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
         finally:
             batch.unpersist()

@@ -10,7 +10,7 @@ from tagspark.functions.loglines import digest_counters, log_fields
 from tagspark.operators.metrics import batch_summary
 from tagspark.operators.planning import SkipRules, skip_decisions
 from tagspark.operators.snapshot import session_snapshot
-from tagspark.streaming.tables import write_batches
+from tagspark.streaming.tables import near, write_batches
 
 
 def stream_progress(results: DataFrame, group: Sequence[str] = ("session_id",)) -> DataFrame:
@@ -40,7 +40,9 @@ def stream_log_digest(
 def run_skip_plan(
     arriving: DataFrame, files: DataFrame, file_tags: DataFrame, rules: SkipRules, path: str, checkpoint: str
 ) -> None:
-    """Skip decisions for files (pos, file_id) as they arrive."""
-    write_batches(
-        arriving, path, checkpoint, lambda batch, _: skip_decisions(batch, files, file_tags, rules)
-    )
+    """Skip decisions for files (pos, file_id) as they arrive, against stored tables."""
+
+    def decide(batch: DataFrame, _: int) -> DataFrame:
+        return skip_decisions(batch, *near(batch, files, file_tags), rules)
+
+    write_batches(arriving, path, checkpoint, decide)
