@@ -194,10 +194,12 @@ def run_batches(n, size, cut, split, cap, tag_all):
     return out
 
 
-@pytest.mark.parametrize("cut", [0, 1, 45, 60, 64, 200, 300])
-@pytest.mark.parametrize("split", [0, 37, 64, 299])
 @pytest.mark.parametrize("size, cap, tag_all", [(16, 50, True), (100, 32, True), (16, 50, False)])
-def test_assign_batches_equals_a_run(spark, cut, split, size, cap, tag_all):
-    rows = S.assign_batches(spark.range(300).withColumnRenamed("id", "ordinal"), size, cut, split, cap, tag_all)
-    ours = [r["batch"] for r in rows.orderBy("ordinal").collect()]
-    assert ours == run_batches(300, size, cut, split, cap, tag_all)
+def test_assign_batches_equals_a_run(spark, size, cap, tag_all):
+    cases = list(itertools.product([0, 1, 45, 60, 64, 200, 300], [0, 37, 64, 299]))
+    runs = table(spark, "cut bigint, split bigint", *cases).withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(299))))
+    rows = S.assign_batches(runs, size, F.col("cut"), F.col("split"), cap, tag_all).orderBy("cut", "split", "ordinal")
+    ours = [r["batch"] for r in rows.collect()]
+    assert ours == [b for cut, split in cases for b in run_batches(300, size, cut, split, cap, tag_all)]
+    single = S.assign_batches(spark.range(300).withColumnRenamed("id", "ordinal"), size, 60, 64, cap, tag_all)
+    assert [r["batch"] for r in single.orderBy("ordinal").collect()] == run_batches(300, size, 60, 64, cap, tag_all)
