@@ -14,8 +14,47 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagspark.defaults import CHUNK_ROWS
+from tagspark.session import cut_lineage
 
 _CHUNK = "_chunk"
+RANGE = "_range"
+
+
+def range_buckets(df: DataFrame, keys: Sequence[str], name: str = "ranges") -> DataFrame:
+    """Rows dealt into ranges of `keys` and written once, with the number of their range.
+
+    Ranges hold about the same number of rows however the values lie; equal keys share a range.
+    The table is written because range bounds are sampled: every reader must see the same ones.
+    """
+    dealt = df.repartitionByRange(*keys)
+    return cut_lineage(dealt.withColumn(RANGE, F.spark_partition_id()), name)
+
+
+def range_totals(
+    df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], group: Sequence[str] = ()
+) -> DataFrame:
+    """Inclusive running sums per group along `order`; (group, order) must be unique.
+
+    A window works inside one range at a time. What came before a range is added from a table
+    with one row per (group, range), which is all that a window sees of a whole group.
+    """
+    values = {name: F.coalesce(value, F.lit(0)) for name, value in sums.items()}
+    keys = [*group, RANGE]
+    rows = range_buckets(df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()]), [*group, *order])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_in_{n}") for n in values])
+    whole = rows.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_all_{n}") for n in values])
+    earlier = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[F.sum(f"_all_{n}").over(earlier).alias(f"_before_{n}") for n in values],
+    )
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
+    joined = local.join(before, same, "left")
+    totals = [(F.col(f"_in_{n}") + F.coalesce(f"_before_{n}", F.lit(0))).alias(n) for n in values]
+    return joined.select(*df.columns, *totals)
 
 
 def chunk_of(order: str, chunk_rows: int = CHUNK_ROWS) -> Column:

@@ -29,10 +29,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for shared data; an own temporary one only where none is named."""
+    """The folder the cluster names for shared data; an own temporary one only in local mode."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tagspark-")

@@ -90,3 +90,14 @@ def test_shared_folder_is_the_named_one_or_an_own_one(spark, monkeypatch):
     monkeypatch.setattr(session, "CHECKPOINT_CONF", "spark.no.such.setting")
     assert session.shared_dir(spark) == session.shared_dir(spark) != named
     assert session.cut_lineage(spark.range(5)).count() == 5
+
+
+def test_range_totals_need_no_dense_order(spark):
+    i = F.col("id")
+    sparse = spark.range(2000).select(
+        F.when(i % 3 == 0, F.lit(None)).otherwise(i % 4).alias("g"), F.xxhash64(i).alias("pos"), i.alias("v")
+    )
+    ours = O.range_totals(sparse, ["pos"], {"s": F.col("v")}, ["g"])
+    plain = Window.partitionBy("g").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    both = ours.withColumn("s2", F.sum("v").over(plain))
+    assert both.count() == 2000 and both.where("not (s <=> s2)").count() == 0
