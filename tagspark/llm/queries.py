@@ -73,10 +73,10 @@ parts AS (
   SELECT doc_id, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
     list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM texts),
 windows AS (
-  SELECT doc_id, unnest(generate_series(1, len(words) - 4)) AS at, unnest(list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i+4], ' '))) AS w
+  SELECT doc_id, unnest(generate_series(1, len(words) - 4)) AS place, unnest(list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i+4], ' '))) AS w
   FROM parts WHERE len(words) >= 5),
-twice AS (SELECT doc_id, at FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
-covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(generate_series(at, at + 4)) AS place FROM twice) GROUP BY doc_id),
+twice AS (SELECT doc_id, place FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(generate_series(place, place + 4)) AS place FROM twice) GROUP BY doc_id),
 measured AS (
   SELECT p.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
