@@ -11,7 +11,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagspark.llm import block_names, fair_mix, packing, rule_ledger, simhash, token_files
+from tagspark.llm import (
+    block_names,
+    fair_mix,
+    packing,
+    page_text,
+    preferences,
+    quality_votes,
+    rule_ledger,
+    simhash,
+    token_files,
+)
 from tagspark.session import fresh_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +61,12 @@ def as_documents(found: DataFrame) -> DataFrame:
     return found.withColumnRenamed("file_id", "doc_id")
 
 
+@query()
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    marks = table(spark, folder, "labels").select(F.col("doc_id").alias("file_id"), F.col("quality").alias("archived"))
+    return as_documents(quality_votes.quality_votes(files(spark, folder), marks))
+
+
 @query(
     r"""
 WITH plain AS (
@@ -127,6 +143,52 @@ def op4_mix_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     return as_documents(fair_mix.fair_mix(files(spark, folder)))
 
 
+def session_turns(conversations: DataFrame) -> DataFrame:
+    """Conversations as sessions."""
+    return conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", "text")
+
+
+def session_pairs(conversations: DataFrame) -> DataFrame:
+    """A conversation with an even id is preferred to the one with the next id."""
+    pair_id = F.floor(F.col("conv_id") / 2).cast("bigint")
+    return conversations.select(pair_id.alias("pair_id")).distinct().select(
+        "pair_id", (F.col("pair_id") * 2).alias("chosen_session"), (F.col("pair_id") * 2 + 1).alias("rejected_session")
+    )
+
+
+@query(
+    r"""
+WITH turns AS (
+  SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, turn AS seq, role, text FROM conversations),
+sides AS (
+  SELECT pair_id, seq, list(role || chr(0) || text ORDER BY role, text) FILTER (WHERE chosen) AS c,
+    list(role || chr(0) || text ORDER BY role, text) FILTER (WHERE NOT chosen) AS r FROM turns GROUP BY pair_id, seq),
+apart AS (SELECT pair_id, min(seq) AS apart FROM sides WHERE c IS DISTINCT FROM r GROUP BY pair_id),
+parts AS (
+  SELECT t.*, CASE WHEN apart IS NULL OR seq < apart THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part
+  FROM turns t LEFT JOIN apart a ON t.pair_id = a.pair_id),
+written AS (
+  SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, length(role) + 5 AS head
+  FROM parts WHERE part <> 'prompt' OR chosen),
+along AS (
+  SELECT *, CAST(length(rendered) AS BIGINT) AS n_chars,
+    CAST(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY seq, role, text) AS BIGINT) AS upto FROM written)
+SELECT pair_id, part, seq, role, rendered, upto - n_chars AS start, n_chars,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN upto - n_chars + head END AS loss_start,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN upto END AS loss_end
+FROM along
+"""
+)
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return preferences.preference_segments(session_turns(conversations), session_pairs(conversations))
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.page_texts(table(spark, folder, "pages"))
+
+
 @query()
 def op8_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack_files(files(spark, folder), VOCABULARY, with_ids=False)
