@@ -32,14 +32,17 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut_lineage(_small_star(_large_star(edges)), f"stars-{turn}")
 
 
+# The minima are written before they are joined: only a join of two exchanges is split by key.
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every edge leads from a larger node `u` to a smaller one `v`."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")), "minima")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

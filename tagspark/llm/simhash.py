@@ -103,7 +103,8 @@ def near_duplicates(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
     )
     best = joined.groupBy("root").agg(F.min("first").alias("best"))
-    classes = joined.join(best, "root").select("fingerprint", "best")
+    # Written first: a join whose sides are both plain exchanges is split where a key is frequent.
+    classes = cut_lineage(joined.join(best, "root").select("fingerprint", "best"), "classes")
     return rows.join(classes, "fingerprint").select(
         "file_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
