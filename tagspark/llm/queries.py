@@ -16,6 +16,7 @@ from tagspark.llm import (
     fair_mix,
     packing,
     page_text,
+    passages,
     preferences,
     quality_votes,
     rule_ledger,
@@ -189,6 +190,11 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return page_text.page_texts(table(spark, folder, "pages"))
 
 
+@query()
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return as_documents(passages.shared_passages(files(spark, folder))).withColumnRenamed("other_file", "other_doc")
+
+
 @query()
 def op8_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack_files(files(spark, folder), VOCABULARY, with_ids=False)
