@@ -43,8 +43,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _repeated_words(words: Column, n: Column) -> Column:
+def _repeated_words(words: Column) -> Column:
     """Words inside some window of five words that stands in the text twice or more."""
+    n = F.size(words)
     starts = F.sequence(F.lit(0), n - WINDOW)
 
     def digest(i: Column) -> Column:
@@ -69,9 +70,10 @@ def _repeated_words(words: Column, n: Column) -> Column:
 
     # Windows with different digests differ for certain; equal digests are settled by the words.
     distinct = _let(F.transform(starts, digest), lambda d: F.size(F.array_distinct(d)) == F.size(d))
+    # Not a slice: that copies the whole array each time.
     windows = F.transform(
         starts,
-        lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("at")),
+        lambda i: F.struct(F.concat_ws(" ", *[F.get(words, i + k) for k in range(WINDOW)]).alias("w"), i.alias("at")),
     )
     exact = _let(_let(F.sort_array(windows), marked), covered)
     return F.when(n <= WINDOW, F.lit(0)).when(distinct, F.lit(0)).otherwise(exact)
@@ -101,15 +103,18 @@ def rule_ledger(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         F.filter(F.split(text, GAP + "+"), lambda w: w != "").alias("_words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(has_word)).alias("_lines"),
     )
+    # A condition on the ledger must not be moved below the measuring, where it would measure again;
+    # it stays above a column that is not deterministic.
+    n_words = F.when(F.monotonically_increasing_id() >= 0, F.size("_words")).otherwise(F.lit(0))
     measured = split.select(
         "file_id",
         *carry,
-        F.size("_words").cast("bigint").alias("n_words"),
+        n_words.cast("bigint").alias("n_words"),
         "word_chars",
         "n_symbols",
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        _repeated_words(F.col("_words"), F.size("_words")).cast("bigint").alias("n_repeat_words"),
+        _let(F.col("_words"), _repeated_words).cast("bigint").alias("n_repeat_words"),
     )
     bits = [
         F.when(F.expr(failed), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, failed in enumerate(RULES.values())
