@@ -29,7 +29,6 @@ APPLY_EVERY = 8
 SKIP_TAIL_BATCH = 512
 LEARNING_FRACTION = 0.1
 LEARNING_MIN_FILES = 32
-LEARNING_CAP = 400_000
 TUNING_WINDOW = 32
 WARM_UP_BATCHES = 3
 PAGE_SIZE = 50

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tagspark.defaults import CHUNK_ROWS, PAGE_SIZE
+from tagspark.defaults import PAGE_SIZE
 from tagspark.functions.text import normalize_text, service_label
 from tagspark.operators.ordered import neighbours_of, with_ordinal
 from tagspark.operators.skew import lookup_join
@@ -108,16 +108,14 @@ def prune_metadata(files: DataFrame, page: DataFrame, selected: DataFrame) -> Da
     return files.join(keep, "file_id", "left_semi")
 
 
-def neighbours(
-    ordered: DataFrame, selected: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def neighbours(ordered: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     """Previous and next file of each row: file_id, pos, previous, next.
 
     Over the whole order the ends point at themselves. Inside a selection of several files the
     order is that of the selection and the ends wrap around.
     """
     if selected is None:
-        rows = neighbours_of(ordered.select("file_id", "pos"), "pos", "file_id", chunk_rows)
+        rows = neighbours_of(ordered.select("file_id", "pos"), "pos", "file_id")
         return rows.select(
             "file_id",
             "pos",
@@ -127,7 +125,7 @@ def neighbours(
     chosen = ordered_selection(ordered, selected).select("file_id", "pos")
     first = chosen.agg(F.min_by("file_id", "pos")).scalar()
     last = chosen.agg(F.max_by("file_id", "pos")).scalar()
-    rows = neighbours_of(chosen, "pos", "file_id", chunk_rows)
+    rows = neighbours_of(chosen, "pos", "file_id")
     return rows.select(
         "file_id", "pos", F.coalesce("previous", last).alias("previous"), F.coalesce("next", first).alias("next")
     )
@@ -196,6 +194,6 @@ def recovery_snapshot(
     )
 
 
-def run_order(ordered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def run_order(ordered: DataFrame) -> DataFrame:
     """Queue rows with a dense ordinal by position."""
-    return with_ordinal(ordered, "pos", chunk_rows=chunk_rows)
+    return with_ordinal(ordered, "pos")

@@ -15,7 +15,7 @@ from tagspark.defaults import (
     WARM_UP_BATCHES,
 )
 from tagspark.functions.numbers import batch_files, batch_wall, progress_bar, triplet_of
-from tagspark.operators.ordered import over_recent, running_totals, with_lookback
+from tagspark.operators.ordered import over_recent, running_totals, with_lookback, with_ordinal
 
 SERIES_PART = 1_024
 
@@ -40,7 +40,6 @@ def progress(
     infer_total: int | Column,
     group: Sequence[str] = (),
     extra: Sequence[str] = (),
-    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Cumulative counters after each batch, the expected number of batches, the progress bar.
 
@@ -50,7 +49,7 @@ def progress(
     infer_total = infer_total if isinstance(infer_total, Column) else F.lit(infer_total)
     counters = ["processed", "inferred", "skipped_same", "skipped_higher", "stale_removed", *extra]
     sums = {f"total_{c}": F.col(c) for c in counters}
-    along = running_totals(batches, "batch", sums, group, chunk_rows=chunk_rows)
+    along = running_totals(batches, "batch", sums, group)
     left = F.greatest(F.lit(0), total - F.col("total_processed"))
     bar = progress_bar(infer_total, "total_inferred", "total_processed", total)
     return along.select(
@@ -126,11 +125,15 @@ def tuning_series(metrics: DataFrame, part_rows: int = SERIES_PART) -> DataFrame
 def rolling_history(
     metrics: DataFrame, window: int = TUNING_WINDOW, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Each batch with the last `window` batches up to it (1..128) as an array of structs."""
+    """Each batch with the last `window` batches up to it (1..128) as an array of structs.
+
+    Batches that are missing, such as failed ones, take no place in the window.
+    """
     size = max(1, min(128, int(window)))
     fields = [c for c in metrics.columns if c not in ("session_id", "batch_index")]
-    seen = with_lookback(metrics, "batch_index", size - 1, ["session_id"], chunk_rows)
-    frame = over_recent("batch_index", size - 1, ["session_id"])
+    numbered = with_ordinal(metrics, "batch_index", "_ordinal", ["session_id"])
+    seen = with_lookback(numbered, "_ordinal", size - 1, ["session_id"], chunk_rows)
+    frame = over_recent("_ordinal", size - 1, ["session_id"])
     history = F.collect_list(F.struct("batch_index", *fields)).over(frame)
     return seen.withColumn("history", history).where("_own").select("session_id", "batch_index", "history")
 
@@ -200,8 +203,9 @@ def tuning_eta(
     flagged = labelled.withColumns(
         {"_wall": wall, "_waiting": F.lit(awaiting_approval), "_commit": F.lit(commit_segment)}
     )
-    seen = with_lookback(flagged, "batch_index", 2, ["session_id"], chunk_rows)
-    mean = F.avg("_wall").over(over_recent("batch_index", 2, ["session_id"]))
+    numbered = with_ordinal(flagged, "batch_index", "_ordinal", ["session_id"])
+    seen = with_lookback(numbered, "_ordinal", 2, ["session_id"], chunk_rows)
+    mean = F.avg("_wall").over(over_recent("_ordinal", 2, ["session_id"]))
     left = F.col("search_total") - F.col("search_done")
     return (
         seen.withColumn("_mean", mean)

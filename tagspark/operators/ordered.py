@@ -1,10 +1,9 @@
 """Ordinals and running totals over long ordered groups, without one task per group.
 
 A plain window puts each group into one task, and an unpartitioned one puts everything there.
-Here the order column, an integer, is cut into chunks of `chunk_rows` values. Rows are spread by
-(group, chunk), a window counts inside the chunk, and what came before the chunk is added from a
-table with one row per (group, chunk). That table is the only thing a window sees per group, so
-a group of n rows costs one task n / chunk_rows rows.
+Here rows are dealt into ranges of (group, order) that hold about the same number of rows however
+the values lie. A window counts inside a range, and what came before it is added from a table with
+one row per (group, range). That table is the only thing a window sees of a whole group.
 """
 
 from __future__ import annotations
@@ -62,58 +61,30 @@ def chunk_of(order: str, chunk_rows: int = CHUNK_ROWS) -> Column:
 
 
 def running_totals(
-    df: DataFrame,
-    order: str,
-    sums: Mapping[str, Column],
-    group: Sequence[str] = (),
-    major: Sequence[str] = (),
-    chunk_rows: int = CHUNK_ROWS,
+    df: DataFrame, order: str, sums: Mapping[str, Column], group: Sequence[str] = (), major: Sequence[str] = ()
 ) -> DataFrame:
     """Inclusive running sums per group along (`major`, `order`).
 
-    `order` is an integer, unique within (group, major). `major` columns are sorted first and have
-    few values. Every input row is kept. A running count is the sum of a literal 1.
+    `order` is unique within (group, major); `major` columns are sorted first. Every input row is
+    kept. A running count is the sum of a literal 1.
     """
-    keys = [*group, *major, _CHUNK]
-    values = {name: F.coalesce(value, F.lit(0)) for name, value in sums.items()}
-    rows = df.withColumn(_CHUNK, chunk_of(order, chunk_rows))
-
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.select("*", *[F.sum(v).over(inside).alias(f"_in_{n}") for n, v in values.items()])
-
-    per_chunk = rows.groupBy(*keys).agg(*[F.sum(v).alias(f"_all_{n}") for n, v in values.items()])
-    earlier = (
-        Window.partitionBy(*group)
-        .orderBy(*major, _CHUNK)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = per_chunk.select(
-        *keys, *[F.sum(f"_all_{n}").over(earlier).alias(f"_before_{n}") for n in values]
-    )
-    joined = local.join(before, keys, "left")
-    totals = [
-        (F.col(f"_in_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in values
-    ]
-    return joined.select(*df.columns, *totals)
+    return range_totals(df, [*major, order], sums, group)
 
 
 def with_ordinal(
-    df: DataFrame,
-    order: str,
-    name: str = "ordinal",
-    group: Sequence[str] = (),
-    major: Sequence[str] = (),
-    chunk_rows: int = CHUNK_ROWS,
+    df: DataFrame, order: str, name: str = "ordinal", group: Sequence[str] = (), major: Sequence[str] = ()
 ) -> DataFrame:
     """Zero-based dense position of every row along (`major`, `order`) within its group."""
-    counted = running_totals(df, order, {name: F.lit(1).cast("bigint")}, group, major, chunk_rows)
+    counted = running_totals(df, order, {name: F.lit(1).cast("bigint")}, group, major)
     return counted.withColumn(name, F.col(name) - 1)
 
 
 def with_lookback(
     df: DataFrame, order: str, rows: int, group: Sequence[str], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Copy the last `rows` values before a chunk into it, so that short frames see them.
+    """Copy the last `rows` rows before a chunk into it, so that short frames see them.
+
+    `order` is an ordinal without gaps inside its group, as `with_ordinal` gives it.
 
     Adds `_chunk` and `_own`; after the frame is computed per (group, `_chunk`) keep the rows with
     `_own`. At most rows / chunk_rows of the data is copied.
@@ -128,31 +99,29 @@ def with_lookback(
 
 
 def over_recent(order: str, rows: int, group: Sequence[str]):
-    """The window that goes with `with_lookback`: this row and the `rows` values before it."""
+    """The window that goes with `with_lookback`: this row and the `rows` rows before it."""
     return Window.partitionBy(*group, _CHUNK).orderBy(order).rowsBetween(-rows, 0)
 
 
-def neighbours_of(
-    df: DataFrame, order: str, value: str, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def neighbours_of(df: DataFrame, order: str, value: str) -> DataFrame:
     """Adds `previous` and `next` values along `order`, null at both ends of the whole table."""
-    rows = df.withColumn(_CHUNK, chunk_of(order, chunk_rows))
-    inside = Window.partitionBy(_CHUNK).orderBy(order)
+    rows = range_buckets(df, [order], "neighbours")
+    inside = Window.partitionBy(RANGE).orderBy(order)
     local = rows.select(
         "*",
         F.lag(value).over(inside).alias("_previous"),
         F.lead(value).over(inside).alias("_next"),
     )
-    ends = rows.groupBy(_CHUNK).agg(
+    ends = rows.groupBy(RANGE).agg(
         F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last")
     )
-    along = Window.orderBy(_CHUNK)
+    along = Window.orderBy(RANGE)
     edges = ends.select(
-        _CHUNK,
+        RANGE,
         F.lag("_last").over(along).alias("_before"),
         F.lead("_first").over(along).alias("_after"),
     )
-    return local.join(edges, _CHUNK, "left").select(
+    return local.join(edges, RANGE, "left").select(
         *df.columns,
         F.coalesce("_previous", "_before").alias("previous"),
         F.coalesce("_next", "_after").alias("next"),

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.defaults import (
-    CHUNK_ROWS,
     DEFAULT_MODEL,
     MARKER_PREFIX,
     MODEL_TIERS,
@@ -175,10 +174,10 @@ def bucket_of(skip_reason: Column | str = "skip_reason") -> Column:
     )
 
 
-def reorder_infer_first(decisions: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def reorder_infer_first(decisions: DataFrame) -> DataFrame:
     """Adds `bucket` and the dense `ordinal` of the run order: to score, same marker, higher rank."""
     return with_ordinal(
-        decisions.withColumn("bucket", bucket_of()), "pos", major=["bucket"], chunk_rows=chunk_rows
+        decisions.withColumn("bucket", bucket_of()), "pos", major=["bucket"]
     )
 
 

@@ -215,13 +215,15 @@ def _anchors(marked: DataFrame, lookbehind: int, chunk_rows: int) -> DataFrame:
     )
     run = Window.partitionBy("run_id")
     along = run.orderBy("_chunk")
-    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    # What comes next is the last one met when going backwards: such a frame only grows.
+    after = run.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     edges = chunks.select(
         "run_id",
         "_chunk",
         *[F.sum(f"_all_{n}").over(before).alias(f"_before_{n}") for n in measures],
         *[F.sum(f"_all_upto_{n}").over(run).alias(f"run_{n}") for n in _SUMS],
-        F.first("_queue", ignorenulls=True).over(after).alias("_later_queue"),
+        F.last("_queue", ignorenulls=True).over(after).alias("_later_queue"),
     )
 
     copies = F.array_compact(
@@ -234,7 +236,8 @@ def _anchors(marked: DataFrame, lookbehind: int, chunk_rows: int) -> DataFrame:
     spread = marked.withColumn("_home", chunk).select("*", F.explode(copies).alias("_chunk"))
     by_line = Window.partitionBy("run_id", "_chunk").orderBy("line_no")
     upto_here = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = by_line.rowsBetween(0, Window.unboundedFollowing)
+    backwards = Window.partitionBy("run_id", "_chunk").orderBy(F.desc("line_no"))
+    from_here = backwards.rowsBetween(Window.unboundedPreceding, 0)
 
     rates = F.first(text("is_rates"), ignorenulls=True).over(by_line.rangeBetween(0, RATES_LOOK_AHEAD))
     if lookbehind > 0:
@@ -243,7 +246,7 @@ def _anchors(marked: DataFrame, lookbehind: int, chunk_rows: int) -> DataFrame:
     seen = spread.select(
         "*",
         *[F.sum(F.when(home, v)).over(upto_here).alias(f"_in_{n}") for n, v in measures.items()],
-        F.first(F.when(home, text("is_queue")), ignorenulls=True).over(from_here).alias("_own_queue"),
+        F.last(F.when(home, text("is_queue")), ignorenulls=True).over(from_here).alias("_own_queue"),
         F.first(text("is_config"), ignorenulls=True).over(by_line.rangeBetween(-CONFIG_LOOK_BACK, 0)).alias("_config"),
         F.last(text("is_metrics"), ignorenulls=True).over(by_line.rangeBetween(-METRICS_LOOK_BACK, 0)).alias("_metrics"),
         rates.alias("_rates"),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.defaults import (
-    CHUNK_ROWS,
-    LEARNING_CAP,
     LEARNING_FRACTION,
     LEARNING_MIN_FILES,
     SCORE_BATCH,
@@ -28,14 +26,19 @@ def _by_count(n: Column, fraction: float) -> Column:
     return _within(n, F.ceil(F.lit(fraction) * n))
 
 
-def learning_size(queue: DataFrame, fraction: object = LEARNING_FRACTION, cap: int = LEARNING_CAP) -> DataFrame:
+def learning_size(queue: DataFrame, fraction: object = LEARNING_FRACTION, cap: int | None = None) -> DataFrame:
     """One row: n, split_index (uncapped) and learning_count (capped)."""
     counted = queue.agg(F.count("*").alias("n"))
     return counted.withColumn("split_index", _by_count(F.col("n"), fraction_of(fraction))).withColumn(
-        "learning_count", F.least("split_index", F.lit(cap))
+        "learning_count", _capped(cap)
     )
 
 
+def _capped(cap: int | None) -> Column:
+    """A cap is for callers that hold the learning part in memory; there is none unless one is given."""
+    return F.col("split_index") if cap is None else F.least("split_index", F.lit(cap))
+
+
 def _segments(ordered: DataFrame, size: Column) -> DataFrame:
     return ordered.withColumn(
         "segment", F.when(F.col("ordinal") < size, F.lit("learning")).otherwise(F.lit("commit"))
@@ -45,12 +48,11 @@ def _segments(ordered: DataFrame, size: Column) -> DataFrame:
 def learning_split(
     queue: DataFrame,
     fraction: object = LEARNING_FRACTION,
-    cap: int = LEARNING_CAP,
-    chunk_rows: int = CHUNK_ROWS,
+    cap: int | None = None,
 ) -> DataFrame:
     """Queue rows with ordinal and segment. What the cap cuts off leads the commit part."""
     size = learning_size(queue, fraction, cap).select("learning_count").scalar()
-    return _segments(with_ordinal(queue, "pos", chunk_rows=chunk_rows), size)
+    return _segments(with_ordinal(queue, "pos"), size)
 
 
 def sized_queue(queue: DataFrame, files: DataFrame) -> DataFrame:
@@ -61,8 +63,7 @@ def learning_size_bytes(
     queue: DataFrame,
     files: DataFrame | None,
     fraction: object = LEARNING_FRACTION,
-    cap: int = LEARNING_CAP,
-    chunk_rows: int = CHUNK_ROWS,
+    cap: int | None = None,
 ) -> DataFrame:
     """One row on the split by cumulative size, with the reason when it falls back to counting."""
     share = fraction_of(fraction)
@@ -75,10 +76,10 @@ def learning_size_bytes(
             "split_index",
             "learning_count",
         )
-    return _size_info(cut_lineage(sized_queue(queue, files), "sized-queue"), share, cap, chunk_rows)
+    return _size_info(cut_lineage(sized_queue(queue, files), "sized-queue"), share, cap)
 
 
-def _size_info(sized: DataFrame, share: float, cap: int, chunk_rows: int) -> DataFrame:
+def _size_info(sized: DataFrame, share: float, cap: int | None) -> DataFrame:
     totals = sized.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("size").isNull()).alias("unsized"),
@@ -92,7 +93,7 @@ def _size_info(sized: DataFrame, share: float, cap: int, chunk_rows: int) -> Dat
         F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total_bytes"))).alias("target_bytes"),
     )
     along = running_totals(
-        sized, "pos", {"seen": F.lit(1).cast("bigint"), "bytes": F.col("size")}, chunk_rows=chunk_rows
+        sized, "pos", {"seen": F.lit(1).cast("bigint"), "bytes": F.col("size")}
     )
     target = totals.select("target_bytes").scalar()
     reached = along.agg(F.min(F.when(F.col("bytes") >= target, F.col("seen"))).alias("k"))
@@ -104,15 +105,14 @@ def _size_info(sized: DataFrame, share: float, cap: int, chunk_rows: int) -> Dat
         F.when(~counting, F.col("target_bytes")).alias("target_bytes"),
         "fallback",
         F.when(counting, _by_count(F.col("n"), share)).otherwise(by_bytes).alias("split_index"),
-    ).withColumn("learning_count", F.least("split_index", F.lit(cap)))
+    ).withColumn("learning_count", _capped(cap))
 
 
 def learning_split_bytes(
     queue: DataFrame,
     files: DataFrame | None,
     fraction: object = LEARNING_FRACTION,
-    cap: int = LEARNING_CAP,
-    chunk_rows: int = CHUNK_ROWS,
+    cap: int | None = None,
 ) -> DataFrame:
     """Queue rows with ordinal and segment; the learning part ends where the size share is reached.
 
@@ -120,10 +120,10 @@ def learning_split_bytes(
     sizes is written once.
     """
     if files is None:
-        return learning_split(queue, fraction, cap, chunk_rows)
+        return learning_split(queue, fraction, cap)
     sized = cut_lineage(sized_queue(queue, files), "sized-queue")
-    size = _size_info(sized, fraction_of(fraction), cap, chunk_rows).select("learning_count").scalar()
-    return _segments(with_ordinal(sized.drop("size"), "pos", chunk_rows=chunk_rows), size)
+    size = _size_info(sized, fraction_of(fraction), cap).select("learning_count").scalar()
+    return _segments(with_ordinal(sized.drop("size"), "pos"), size)
 
 
 def _as_col(value: int | Column) -> Column:

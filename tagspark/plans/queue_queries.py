@@ -230,7 +230,7 @@ def learning_split_bytes(lib: Library) -> DataFrame:
 @query(
     "byte_split",
     sql="""SELECT n, total_bytes, target_bytes, CAST(NULL AS STRING) AS fallback, split_index,
-    least(split_index, 400000) AS learning_count FROM byte_split""",
+    split_index AS learning_count FROM byte_split""",
 )
 def learning_split_info(lib: Library) -> DataFrame:
     return splits.learning_size_bytes(known_queue(lib), lib.files, 0.2)
@@ -239,7 +239,7 @@ def learning_split_info(lib: Library) -> DataFrame:
 @query(
     "learning",
     sql="""SELECT (SELECT count(*) FROM queue) AS n, CAST(NULL AS BIGINT) AS total_bytes, CAST(NULL AS BIGINT) AS target_bytes,
-    'missing_size' AS fallback, k AS split_index, least(k, 400000) AS learning_count FROM learning""",
+    'missing_size' AS fallback, k AS split_index, k AS learning_count FROM learning""",
 )
 def learning_split_fallback(lib: Library) -> DataFrame:
     return splits.learning_size_bytes(lib.queue, lib.files)

@@ -20,9 +20,8 @@ def rows(spark):
     )
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 97, 100_000])
-def test_running_totals_equal_plain_windows(rows, chunk_rows):
-    ours = O.running_totals(rows, "pos", {"s": F.col("v"), "n": F.lit(1)}, ["g"], ["m"], chunk_rows)
+def test_running_totals_equal_plain_windows(rows):
+    ours = O.running_totals(rows, "pos", {"s": F.col("v"), "n": F.lit(1)}, ["g"], ["m"])
     plain = Window.partitionBy("g").orderBy("m", "pos").rowsBetween(Window.unboundedPreceding, 0)
     both = ours.withColumn("s2", F.sum("v").over(plain)).withColumn("n2", F.count("*").over(plain))
     assert both.count() == 3000
@@ -30,13 +29,13 @@ def test_running_totals_equal_plain_windows(rows, chunk_rows):
 
 
 def test_ordinal_is_dense_over_the_whole_table(rows):
-    o = O.with_ordinal(rows.drop("g"), "pos", major=["m"], chunk_rows=64)
+    o = O.with_ordinal(rows.drop("g"), "pos", major=["m"])
     assert [r[0] for r in o.orderBy("m", "pos").select("ordinal").collect()] == list(range(3000))
 
 
 def test_rows_without_a_position_are_kept(spark):
     df = spark.createDataFrame([(None, 1), (3, 1), (5, 1)], "pos bigint, v int")
-    assert O.running_totals(df, "pos", {"s": F.col("v")}, chunk_rows=2).count() == 3
+    assert O.running_totals(df, "pos", {"s": F.col("v")}).count() == 3
 
 
 @pytest.mark.parametrize("chunk_rows", [5, 64, 100_000])
@@ -49,20 +48,22 @@ def test_lookback_frames_are_complete(spark, chunk_rows):
     assert both.count() == 500 and both.where("s <> s2").count() == 0
 
 
-@pytest.mark.parametrize("chunk_rows", [3, 10_000])
-def test_neighbours_cross_chunks_and_gaps(rows, chunk_rows):
-    ours = O.neighbours_of(rows, "pos", "v", chunk_rows)
+def test_neighbours_cross_ranges_and_gaps(rows):
+    ours = O.neighbours_of(rows, "pos", "v")
     w = Window.orderBy("pos")
     both = ours.withColumn("p", F.lag("v").over(w)).withColumn("n", F.lead("v").over(w))
     assert both.where("not (previous <=> p) or not (next <=> n)").count() == 0
 
 
-def test_no_task_sees_all_rows(rows):
-    plan = O.with_ordinal(rows, "pos", chunk_rows=64)._jdf.queryExecution().executedPlan().toString()
-    # The only single-task exchange carries one row per chunk, after an aggregation.
+def test_no_task_sees_all_rows(spark):
+    """Hashed positions: ranges stay even, and the only single task sees one row per range."""
+    sparse = spark.range(200_000).select(F.xxhash64("id").alias("pos"), F.col("id").alias("v"))
+    ranges = O.range_buckets(sparse, ["pos"]).groupBy(O.RANGE).count().collect()
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 3 * 200_000 / len(ranges)
+    plan = O.with_ordinal(sparse, "pos")._jdf.queryExecution().executedPlan().toString()
     single = plan.split("Exchange SinglePartition")
     assert len(single) == 2
-    assert "HashAggregate" in single[1].splitlines()[1]
+    assert "HashAggregate(keys=[_range" in single[1].splitlines()[1]
 
 
 def test_lookup_join_with_a_hot_key(spark):

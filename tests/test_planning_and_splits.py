@@ -42,7 +42,7 @@ def tagged(spark):
 
 def test_queue_of_three_is_reordered(spark, tagged):
     queue, files = queue_of(spark, [3, 1, 2]), ids_of(spark, [1, 2, 3])
-    ordered = P.reorder_infer_first(P.skip_decisions(queue, files, tagged), chunk_rows=1)
+    ordered = P.reorder_infer_first(P.skip_decisions(queue, files, tagged))
     assert [r["file_id"] for r in ordered.orderBy("ordinal").collect()] == [1, 2, 3]
 
 
@@ -121,7 +121,7 @@ def test_merge_prefetch_and_validate(spark):
 
 
 # ---- splits: brute force ----------------------------------------------------------------------
-def count_size(n, fraction, cap=400_000):
+def count_size(n, fraction, cap=10**9):
     if n <= 1:
         return n
     return min(max(1, min(max(32, math.ceil(fraction * n)), n - 1)), cap)
@@ -134,7 +134,7 @@ def test_learning_split_by_count(spark, n, fraction):
     size = S.learning_size(queue, fraction).first()
     assert size["learning_count"] == count_size(n, fraction)
     if n in (33, 100):
-        rows = S.learning_split(queue, fraction, chunk_rows=7).orderBy("pos").collect()
+        rows = S.learning_split(queue, fraction).orderBy("pos").collect()
         k = count_size(n, fraction)
         assert [r["segment"] for r in rows] == ["learning"] * k + ["commit"] * (n - k)
         assert [r["ordinal"] for r in rows] == list(range(n))
@@ -161,10 +161,10 @@ def byte_size(sizes, fraction):
 def test_learning_split_by_bytes(spark, sizes, fraction):
     queue = queue_of(spark, range(len(sizes)))
     files = table(spark, "file_id bigint, size bigint", *enumerate(sizes))
-    info = S.learning_size_bytes(queue, files, fraction, chunk_rows=9).first()
+    info = S.learning_size_bytes(queue, files, fraction).first()
     assert info["fallback"] is None and info["total_bytes"] == sum(sizes)
     assert info["split_index"] == byte_size(sizes, fraction)
-    rows = S.learning_split_bytes(queue, files, fraction, chunk_rows=9)
+    rows = S.learning_split_bytes(queue, files, fraction)
     assert rows.where("segment = 'learning'").count() == byte_size(sizes, fraction)
     assert rows.count() == len(sizes)
 
