@@ -16,7 +16,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.llm.texts import GAP
 from tagspark.session import cut_lineage
@@ -220,22 +220,29 @@ def page_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
     )
     parsed = cut_lineage(rows.mapInArrow(_parse_pages, _PARSED_SQL), "parsed-pages")
     sizes = parsed.groupBy("host").agg(F.count("*").alias("n_pages"))
-    elements = parsed.where("host is not null").select("row", "host", F.inline("elements"))
+    # Only a page with text inside an element that may be template has to learn which ones are.
+    asks = F.exists("runs", lambda run: F.size(run["around"]) > 0)
+    elements = parsed.where("host is not null").select("row", "host", asks.alias("asks"), F.inline("elements"))
     # An element that stands twice on a page counts once.
     counts = elements.where("first").groupBy("host", "hash").agg(F.count("*").alias("n"))
     template = counts.join(sizes, "host").where((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("n_pages")))
+    template = cut_lineage(template.select("host", "hash"), "template")
     deleted = (
-        elements.join(template.select("host", "hash"), ["host", "hash"], "left_semi")
+        elements.where("asks")
+        .join(template, ["host", "hash"], "left_semi")
         .groupBy("row")
         .agg(F.collect_list("number").alias("deleted"))
     )
     stays = F.filter("runs", lambda run: ~F.arrays_overlap(run["around"], F.coalesce("deleted", F.array().cast("array<int>"))))
-    joined = F.array_join(F.transform(stays, lambda run: run["text"]), "")
-    # Between blocks and inside them one space is what is left of all white space.
-    text = F.trim(F.regexp_replace(joined, GAP + "+", " "))
-    return parsed.join(deleted, "row", "left").select(
-        "page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars")
-    )
+    asking = parsed.where(asks).join(deleted, "row", "left").select("page_id", "url", _text_of(stays).alias("text"))
+    settled = parsed.where(~asks).select("page_id", "url", _text_of(F.col("runs")).alias("text"))
+    return settled.unionByName(asking).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def _text_of(runs: Column) -> Column:
+    """Between blocks and inside them one space is what is left of all white space."""
+    joined = F.array_join(F.transform(runs, lambda run: run["text"]), "")
+    return F.trim(F.regexp_replace(joined, GAP + "+", " "))
 
 
 _PARSED = pa.schema(
