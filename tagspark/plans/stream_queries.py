@@ -17,7 +17,7 @@ FILES_PER_TRIGGER = 1_000
 
 def arriving(lib: Library, table: str) -> DataFrame:
     """A given table as a stream of its files."""
-    return read_stream(lib.spark, lib.folder, f"{table}.parquet", lib.table(table), FILES_PER_TRIGGER)
+    return read_stream(lib.spark, f"{lib.folder}/{table}.parquet", lib.table(table), FILES_PER_TRIGGER)
 
 
 def _paths(lib: Library, name: str) -> tuple[str, str]:

@@ -11,13 +11,17 @@ BATCH = "batch_id"
 
 
 def read_stream(
-    spark: SparkSession, folder: str, pattern: str, like: DataFrame, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Parquet files of a folder as a stream with the schema of a given table."""
-    reader = spark.readStream.schema(like.schema).option("pathGlobFilter", pattern)
+    """A stored table, one file or a folder of part files, as a stream of its files.
+
+    A stream takes a plain path for a folder; as a pattern that only matches itself it may be either.
+    """
+    parent, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(like.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{parent}/[{name[0]}]{name[1:]}")
 
 
 def write_batches(
@@ -50,7 +54,10 @@ def written(spark: SparkSession, path: str, before: int | None = None) -> DataFr
     """Rows of all finished micro-batches, or of those before one; None when there are none."""
     try:
         rows = spark.read.option("basePath", path).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        # Before the first micro-batch there is no folder; any other error is one.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return rows if before is None else rows.where(F.col(BATCH) < before)
 
