@@ -12,8 +12,11 @@ from tokenizers import Tokenizer
 # ---- fixed value: how byte-level vocabularies split a text before merging -------------------
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-# Distinct words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+# Signs that end a word without being letters, numbers or white space.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+# Distinct words, and pieces of words, whose ids a Python worker remembers.
+REMEMBERED = 300_000
 ID_BYTES = 4
 # A space with white space on both sides; only there a word's ids depend on its neighbours.
 _INSIDE_GAP = re.compile(r"\s \s")
@@ -26,20 +29,39 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """Word -> its ids (with the space before it) as little-endian bytes, worked out when missing."""
+def pieces_of(word: str) -> list[str]:
+    """What a word and the space before it are split into; letters and signs after them are two pieces."""
+    stem = word.rstrip(SIGNS)
+    if stem.isalpha():
+        return [" " + stem, word[len(stem) :]] if len(stem) < len(word) else [" " + stem]
+    return PIECES.findall(" " + word)
+
+
+class _Pieces(dict):
+    """Piece -> its ids as little-endian bytes, worked out by the tokenizer's model when missing."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
         self.model = tokenizer.model
         self.letters = _byte_letters()
 
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        packed = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+        if len(self) < REMEMBERED:
+            self[piece] = packed
+        return packed
+
+
+class _Words(dict):
+    """Word -> its ids with the space before it, put together from its pieces when missing."""
+
+    def __init__(self, pieces: _Pieces) -> None:
+        super().__init__()
+        self.pieces = pieces
+
     def __missing__(self, word: str) -> bytes:
-        ids = array("I")
-        for piece in PIECES.findall(" " + word):
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            ids.extend([token.id for token in self.model.tokenize(letters)])
-        packed = ids.tobytes()
+        packed = b"".join(map(self.pieces.__getitem__, pieces_of(word)))
         if len(self) < REMEMBERED:
             self[word] = packed
         return packed
@@ -56,7 +78,7 @@ class TokenEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = _Words(self.tokenizer)
+        self.words = _Words(_Pieces(self.tokenizer))
 
     def encode(self, text: str) -> bytes:
         """Unsigned 32-bit little-endian ids."""
