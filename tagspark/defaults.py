@@ -47,6 +47,3 @@ MAX_LABELS = 200_000
 
 # Rows of one ordered group that a single task may hold at once (see operators/ordered.py).
 CHUNK_ROWS = 65_536
-
-# Tag strings in one write action. Longer lists are split into several actions.
-TAGS_PER_ACTION = 4_096

@@ -17,7 +17,6 @@ from tagspark.defaults import (
     MARKER_PREFIX,
     RATING,
     RATING_PREFIX,
-    TAGS_PER_ACTION,
 )
 from tagspark.functions.text import is_blank, normalize_tag, normalize_text
 from tagspark.operators.planning import tags_of_service
@@ -36,22 +35,26 @@ def storage_keys(
     return rows.select("file_id", "tag_norm").distinct()
 
 
-def tag_diff(proposed: DataFrame, file_tags: DataFrame, service_key: str) -> DataFrame:
-    """One row per file and normal form: first position and spelling, repeats, and `is_new`.
+def tag_diff(
+    proposed: DataFrame, file_tags: DataFrame, service_key: str, keys: Sequence[str] = ("file_id",)
+) -> DataFrame:
+    """One row per list and normal form: first position and spelling, repeats, and `is_new`.
 
+    `keys` tell the lists of proposals apart and hold `file_id`. A file that is queued twice has a
+    list per queue item: name the item there as well, or its repeats count as repeats in one list.
     Both sides are reduced to one row per (file_id, tag_norm) before they meet, so neither a file
     with very many tags nor a tag repeated very often lands in one task.
     """
     first = (
         proposed.withColumn("tag_norm", normalize_tag("tag"))
-        .groupBy("file_id", "tag_norm")
+        .groupBy(*keys, "tag_norm")
         .agg(F.min(F.struct("pos", "tag")).alias("first"), F.count("*").alias("proposed"))
     )
     # A blank service key means nothing is stored there.
     known = file_tags.where(F.lit(bool((service_key or "").strip())))
     stored = storage_keys(known, service_key).withColumn("stored", F.lit(True))
     return first.join(stored, ["file_id", "tag_norm"], "left").select(
-        "file_id",
+        *keys,
         "tag_norm",
         F.col("first.pos").alias("pos"),
         F.col("first.tag").alias("tag"),
@@ -60,17 +63,17 @@ def tag_diff(proposed: DataFrame, file_tags: DataFrame, service_key: str) -> Dat
     )
 
 
-def filter_new_tags(proposed: DataFrame, file_tags: DataFrame, service_key: str) -> DataFrame:
-    """Proposed tags that are not stored yet, each once, as first spelled: file_id, pos, tag, tag_norm."""
-    return tag_diff(proposed, file_tags, service_key).where("is_new").select(
-        "file_id", "pos", "tag", "tag_norm"
-    )
+def filter_new_tags(
+    proposed: DataFrame, file_tags: DataFrame, service_key: str, keys: Sequence[str] = ("file_id",)
+) -> DataFrame:
+    """Proposed tags that are not stored yet, each once, as first spelled: keys, pos, tag, tag_norm."""
+    return tag_diff(proposed, file_tags, service_key, keys).where("is_new").select(*keys, "pos", "tag", "tag_norm")
 
 
-def file_diff_stats(diff: DataFrame) -> DataFrame:
-    """Per file: proposed, kept, skipped."""
+def file_diff_stats(diff: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """Per file, or per list of proposals: proposed, kept, skipped."""
     kept = F.count_if("is_new")
-    return diff.groupBy("file_id").agg(
+    return diff.groupBy(*keys).agg(
         F.sum("proposed").alias("proposed"), kept.alias("kept"), (F.sum("proposed") - kept).alias("skipped")
     )
 
@@ -83,17 +86,24 @@ def applicable(results: DataFrame) -> DataFrame:
 
 
 def apply_stats(
-    items: DataFrame, diff: DataFrame, service_key: str, removes: DataFrame | None = None
+    items: DataFrame,
+    diff: DataFrame,
+    service_key: str,
+    removes: DataFrame | None = None,
+    keys: Sequence[str] = ("file_id",),
 ) -> DataFrame:
-    """One row of write counts for items (file_id, hash); all zero without a service key."""
-    counts = file_diff_stats(diff)
+    """One row of write counts for items (keys, hash); all zero without a service key.
+
+    With an item's own column among `keys`, each item is counted by its own list.
+    """
+    counts = file_diff_stats(diff, keys)
     if removes is not None:
-        gone = removes.groupBy("file_id").agg(F.count("*").alias("removed"))
-        counts = counts.join(gone, "file_id", "full_outer")
+        gone = removes.groupBy(*keys).agg(F.count("*").alias("removed"))
+        counts = counts.join(gone, [*keys], "full_outer")
     else:
         counts = counts.withColumn("removed", F.lit(0))
     active = F.lit(bool((service_key or "").strip()))
-    joined = items.where(active).join(counts, "file_id", "left")
+    joined = items.where(active).join(counts, [*keys], "left")
     adds, dels = F.coalesce("proposed", F.lit(0)), F.coalesce("removed", F.lit(0))
     kept = F.coalesce("kept", F.lit(0))
     usable = F.coalesce(F.length("hash") > 0, F.lit(False)) & ((adds > 0) | (dels > 0))
@@ -114,27 +124,30 @@ def build_tag_actions(
     adds: DataFrame,
     service_key: str,
     removes: DataFrame | None = None,
-    tags_per_action: int = TAGS_PER_ACTION,
+    tags_per_action: int | None = None,
+    keys: Sequence[str] = ("file_id",),
 ) -> DataFrame:
     """Write actions: hash, service_key, part, add_tags, remove_tags (null where empty).
 
-    Positions are list positions, so a part holds at most `tags_per_action` tags of each kind. A
-    file has one part unless its list is longer. Files without a hash and empty actions are absent.
+    There is one action per file, or per item if `keys` name one. `tags_per_action` splits long lists:
+    positions are list positions, so a part holds at most that many tags of each kind. Files
+    without a hash and empty actions are absent.
     """
-    part = F.expr(f"pos div {int(tags_per_action)}").alias("part")
-    rows = adds.select("file_id", part, "pos", "tag", F.lit(True).alias("adding"))
+    part = F.lit(0).cast("bigint") if tags_per_action is None else F.expr(f"pos div {int(tags_per_action)}")
+    part = part.alias("part")
+    rows = adds.select(*keys, part, "pos", "tag", F.lit(True).alias("adding"))
     if removes is not None:
-        rows = rows.unionByName(removes.select("file_id", part, "pos", "tag", F.lit(False).alias("adding")))
+        rows = rows.unionByName(removes.select(*keys, part, "pos", "tag", F.lit(False).alias("adding")))
 
     def tags(adding: Column) -> Column:
         ordered = F.array_sort(F.collect_list(F.when(adding, F.struct("pos", "tag"))))
         return F.when(F.size(ordered) > 0, F.transform(ordered, lambda t: t["tag"]))
 
-    parts = rows.groupBy("file_id", "part").agg(
+    parts = rows.groupBy(*keys, "part").agg(
         tags(F.col("adding")).alias("add_tags"), tags(~F.col("adding")).alias("remove_tags")
     )
-    named = items.where(F.length("hash") > 0).select("file_id", "hash")
-    return parts.join(named, "file_id").select(
+    named = items.where(F.length("hash") > 0).select(*keys, "hash")
+    return parts.join(named, [*keys]).select(
         "hash", F.lit(service_key).alias("service_key"), "part", "add_tags", "remove_tags"
     )
 

@@ -45,7 +45,7 @@ PROPOSED = """
 SELECT l_orderkey AS file_id, CAST(l_linenumber AS BIGINT) AS pos,
   CASE WHEN l_suppkey % 11 = 0 THEN 'wd14:wd-vit-tagger-v3' WHEN l_suppkey % 11 = 1 THEN 'WD14:wd_swinv2_tagger_v3'
     ELSE replace(p_name, ' ', '_') END AS tag
-FROM {lineitem} JOIN {part} ON p_partkey = (l_partkey * 3) % 200
+FROM {lineitem} JOIN {part} ON p_partkey = (l_partkey * 3) % (SELECT count(*) FROM {part})
 """
 SERVICES = """
 SELECT 'svc' || CAST(n_nationkey AS STRING) AS service_key, n_name AS name, n_regionkey AS type, r_name AS type_pretty
@@ -80,7 +80,7 @@ FROM {events} GROUP BY 1, 2, 3
 TUNING_RUNS = """
 SELECT event_id AS run_id, 'model-' || CAST(event_id * 31 % 12 AS STRING) AS model, ts AS saved_at,
   event_id % 256 + 1 AS batch_size, event_id % 32 + 1 AS download_parallel
-FROM {events} WHERE event_type = 'purchase'
+FROM {events}
 """
 LOG_LINES = """
 SELECT 'run-' || CAST(CAST(floor(event_id / 500) AS BIGINT) AS STRING) AS run_id, event_id % 500 AS line_no,

@@ -84,16 +84,55 @@ def tag_actions(lib: Library) -> DataFrame:
     )
 
 
+@query(
+    "files",
+    "queue",
+    "diffed",
+    sql="""SELECT count(*) AS items, count(*) FILTER (WHERE proposed > 0) AS with_tags, count(*) FILTER (WHERE kept > 0) AS files_written,
+    CAST(sum(coalesce(kept, 0)) AS BIGINT) AS new_tag_strings, CAST(sum(coalesce(proposed - kept, 0)) AS BIGINT) AS duplicates_skipped,
+    count(*) FILTER (WHERE proposed > 0 AND kept = 0) AS unchanged_all_dupes
+    FROM queue q JOIN files f ON q.file_id = f.file_id
+    LEFT JOIN (SELECT file_id, sum(proposed) AS proposed, count(*) FILTER (WHERE is_new) AS kept FROM diffed GROUP BY file_id) d
+    ON f.file_id = d.file_id""",
+)
+def apply_stats_repeats(lib: Library) -> DataFrame:
+    """Every queue item has its own list, so a file that is queued often counts as often."""
+    queued = lib.queue.withColumnRenamed("pos", "item")
+    keys = ("item", "file_id")
+    lists = lib.proposed.join(queued, "file_id")
+    own = diff.tag_diff(lists, lib.file_tags, SERVICE, keys)
+    return diff.apply_stats(queued.join(items(lib), "file_id"), own, SERVICE, keys=keys)
+
+
+@query(
+    "files",
+    "new_tags",
+    "file_tags",
+    sql="""SELECT hash, a.tags AS add_tags, g.tags AS remove_tags FROM files f
+    LEFT JOIN (SELECT file_id, string_agg(tag, '|' ORDER BY pos, tag) AS tags FROM new_tags GROUP BY file_id) a ON f.file_id = a.file_id
+    LEFT JOIN (SELECT file_id, string_agg(tag, '|' ORDER BY pos, tag) AS tags FROM file_tags
+      WHERE service_key = 'svc1' AND tag_norm LIKE 'wd14:%' GROUP BY file_id) g ON f.file_id = g.file_id
+    WHERE a.tags IS NOT NULL OR g.tags IS NOT NULL""",
+)
+def tag_actions_with_removes(lib: Library) -> DataFrame:
+    """New tags are added and stored markers removed, in one action per file."""
+    removes = lib.file_tags.where((F.col("service_key") == SERVICE) & F.startswith("tag_norm", F.lit("wd14:")))
+    actions = diff.build_tag_actions(items(lib), diffed(lib).where("is_new"), SERVICE, removes.select("file_id", "pos", "tag"))
+    return actions.select(
+        "hash", F.array_join("add_tags", "|").alias("add_tags"), F.array_join("remove_tags", "|").alias("remove_tags")
+    )
+
+
 @query(
     "decisions",
     "diffed",
     sql="""SELECT count(*) AS results, count(*) FILTER (WHERE d.skip_reason IS NULL AND n.file_id IS NOT NULL) AS files_pending
-    FROM (SELECT DISTINCT file_id, skip_reason FROM decisions) d
+    FROM decisions d
     LEFT JOIN (SELECT DISTINCT file_id FROM diffed WHERE is_new) n ON d.file_id = n.file_id""",
 )
 def pending_files(lib: Library) -> DataFrame:
     skipped = F.col("skip_reason").isNotNull().alias("skipped_inference")
-    results = decided(lib).select("file_id", skipped).distinct()
+    results = decided(lib).select("file_id", skipped)
     return diff.pending_files(results, diffed(lib))
 
 
@@ -329,14 +368,15 @@ def score_pending(lib: Library) -> DataFrame:
 @query(
     "diffed",
     "files",
-    sql="""SELECT d.file_id, count(*) AS tags FROM diffed d JOIN files f ON d.file_id = f.file_id
+    sql="""SELECT d.file_id, string_agg(tag, '|' ORDER BY pos, tag) AS tags FROM diffed d JOIN files f ON d.file_id = f.file_id
     WHERE is_new AND f.state = 'archive' GROUP BY d.file_id""",
 )
 def applicable_results(lib: Library) -> DataFrame:
-    new = diffed(lib).where("is_new").groupBy("file_id").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "tag")))
+    new = diffed(lib).where("is_new").groupBy("file_id").agg(F.transform(ordered, lambda t: t["tag"]).alias("tags"))
     hashes = lib.files.select("file_id", F.when(F.col("state") == "archive", F.col("hash")).alias("hash"))
-    rows = hashes.join(new, "file_id", "left").withColumn("tags", F.array_repeat(F.lit("t"), F.coalesce("n", F.lit(0)).cast("int")))
-    return diff.applicable(rows).select("file_id", F.size("tags").cast("bigint").alias("tags"))
+    rows = hashes.join(new, "file_id", "left")
+    return diff.applicable(rows).select("file_id", F.array_join("tags", "|").alias("tags"))
 
 
 @query("tag_labels", sql="SELECT 'csv_too_few_rows:' || CAST(count(*) AS STRING) AS issue FROM tag_labels HAVING count(*) < 100")

@@ -202,3 +202,25 @@ def test_assemble_results(spark):
     inferred = table(spark, "file_id bigint, tags array<string>, stale_markers_removed int", (1, ["a"], 1))
     rows = R.assemble_results(decisions, inferred, "wd14:m")
     assert got(rows, "pos", "file_id", "skipped_inference", "tags") == [(0, 1, False, ["a"]), (1, 2, True, [])]
+
+
+def test_items_of_one_file_keep_their_own_lists(spark):
+    """Two queue items of a file that propose the same tag are no duplicates of each other."""
+    proposed = table(spark, "item bigint, file_id bigint, pos bigint, tag string", (1, 7, 0, "a"), (2, 7, 0, "a"), (2, 7, 1, "A"), (3, 8, 0, "b"))
+    stored = table(spark, "file_id bigint, service_key string, status string, tag_norm string", (8, "s", "0", "b"))
+    queued = table(spark, "item bigint, file_id bigint, hash string", (1, 7, "h7"), (2, 7, "h7"), (3, 8, "h8"))
+    keys = ("item", "file_id")
+    own = D.tag_diff(proposed, stored, "s", keys)
+    stats = D.apply_stats(queued, own, "s", keys=keys).first().asDict()
+    assert (stats["items"], stats["files_written"], stats["new_tag_strings"], stats["duplicates_skipped"]) == (3, 2, 2, 2)
+    together = D.apply_stats(queued.select("file_id", "hash").distinct(), D.tag_diff(proposed, stored, "s"), "s").first()
+    assert together["new_tag_strings"] == 1
+    actions = D.build_tag_actions(queued, own.where("is_new"), "s", keys=keys)
+    assert got(actions, "hash", "add_tags") == [("h7", ["a"]), ("h7", ["a"])]
+
+
+def test_a_long_list_is_one_action_unless_split(spark):
+    adds = spark.range(5_000).selectExpr("1L AS file_id", "id AS pos", "concat('t', id) AS tag")
+    item = table(spark, "file_id bigint, hash string", (1, "h"))
+    assert [len(r["add_tags"]) for r in D.build_tag_actions(item, adds, "s").collect()] == [5_000]
+    assert D.build_tag_actions(item, adds, "s", tags_per_action=1_000).count() == 5
