@@ -64,7 +64,7 @@ def test_pages_ranges_and_neighbours(spark):
     assert got(B.select_range(order, 7, 5), "file_id") == [(105,), (106,), (107,)]
     assert got(B.select_page(order, chosen, 0, 2)) == [(100,), (101,), (103,), (107,), (109,), (999,)]
     assert got(B.neighbours(order), "file_id", "previous", "next")[0] == (100, 100, 101)
-    assert got(B.neighbours(order, chosen, 3), "file_id", "previous", "next") == [(103, 109, 107), (107, 103, 109), (109, 107, 103)]
+    assert got(B.neighbours(order, chosen), "file_id", "previous", "next") == [(103, 109, 107), (107, 103, 109), (109, 107, 103)]
     assert got(B.prune_metadata(order, order.where("pos = 0"), chosen), "file_id") == [(100,), (103,), (107,), (109,)]
 
 
