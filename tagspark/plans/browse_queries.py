@@ -223,6 +223,24 @@ def explode_storage_tags(lib: Library) -> DataFrame:
     return metadata.explode_storage_tags(last_metadata(lib)).drop("tag_set")
 
 
+@query(
+    sql="""SELECT o_orderkey AS file_id, 'a' AS service_key, '0' AS status, CAST(0 AS BIGINT) AS pos, o_orderstatus AS tag FROM orders WHERE o_orderkey % 4 = 0
+    UNION ALL SELECT o_orderkey, 'a', '1', 0, o_orderpriority FROM orders WHERE o_orderkey % 4 = 1
+    UNION ALL SELECT o_orderkey, 'b', '0', i, CASE i WHEN 0 THEN o_orderstatus ELSE o_orderpriority END FROM orders, (SELECT CAST(0 AS BIGINT) AS i UNION ALL SELECT 1)
+    WHERE o_orderkey % 4 = 2"""
+)
+def view_tags(lib: Library) -> DataFrame:
+    """Stored tags come before displayed ones, and the older display root is read where there are no tags."""
+    kind = F.col("o_orderkey") % 4
+    quoted = [F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("o_orderstatus", "o_orderpriority")]
+    stored = F.concat(F.lit('{"tags":{"a":{"storage_tags":{"0":['), quoted[0], F.lit(']},"display_tags":{"0":["other"]}}}}'))
+    shown = F.concat(F.lit('{"tags":{"a":{"display_tags":{"1":['), quoted[1], F.lit("]}}}}"))
+    older = F.concat(F.lit('{"service_keys_to_statuses_to_display_tags":{"b":{"0":['), quoted[0], F.lit(","), quoted[1], F.lit("]}}}"))
+    text = F.when(kind == 0, stored).when(kind == 1, shown).when(kind == 2, older).otherwise(F.lit('{"tags":{"a":7}}'))
+    raw = lib.table("orders").select(F.col("o_orderkey").alias("file_id"), F.parse_json(text).alias("meta"))
+    return metadata.explode_view_tags(raw)
+
+
 @query(
     sql="""SELECT 'svc' || CAST(n_nationkey AS STRING) AS service_key, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS name,
     n_regionkey AS type, 'kind ' || CAST(n_regionkey AS STRING) AS type_pretty FROM nation WHERE n_nationkey % 6 <> 5"""

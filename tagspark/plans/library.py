@@ -111,6 +111,7 @@ SELECT 'run-' || CAST(CAST(floor(event_id / 500) AS BIGINT) AS STRING) AS run_id
       || CAST(event_id % 300 AS STRING) || ' outcome=ok/complete model=m'
     WHEN event_id % 3 = 1 THEN ' DEBUG [r] [ws] tagging_ws session_perf_rates wall_s=60.000 inferred_non_skip=' || CAST(event_id % 50 AS STRING)
       || ' inferred_non_skip_per_s=0.' || CAST(1000 + event_id % 9000 AS STRING) || ' tags_new_strings_per_s=3.3333 outer_batches=10'
+    WHEN event_id % 30 = 2 THEN ' INFO [r] [perf] perf process_shutdown uptime_s=' || CAST(event_id % 700 AS STRING) || '  '
     ELSE ' INFO [r] [perf] stats op=tagging_session label=''a b'' outcome=ok processed=' || CAST(event_id % 100 AS STRING)
       || ' wall_s=' || CAST(event_id % 60 AS STRING) END AS line
 FROM {events}

@@ -481,3 +481,11 @@ def parsed_stats(lib: Library) -> DataFrame:
 def latest_run(lib: Library) -> DataFrame:
     stamped = lib.log_lines.withColumn("modified_at", loglines.log_fields("line")["ts"])
     return sessions.latest_run(stamped)
+
+
+@query(
+    "log_lines",
+    sql="""SELECT run_id, rtrim(arg_max(line, line_no)) AS shutdown FROM log_lines WHERE contains(line, 'perf process_shutdown') GROUP BY run_id""",
+)
+def log_shutdowns(lib: Library) -> DataFrame:
+    return sessions.last_shutdown(lib.log_lines)
