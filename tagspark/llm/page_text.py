@@ -52,6 +52,7 @@ NEVER = frozenset(
     "aside audio button canvas dialog embed footer form head iframe input map menu nav noscript object "
     "script search select style svg template textarea video".split()
 )
+COMMENTS = frozenset(("comment", "comments", "reply", "replies"))
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent "
@@ -73,10 +74,11 @@ class _Element:
 def _dropped(tag: str, attributes: list[tuple[str, str | None]], in_article: bool) -> bool:
     if tag in NEVER or (tag == "header" and not in_article):
         return True
-    if tag in ARTICLE or tag in ("html", "body"):
-        words: set[str] = set()
-    else:
-        words = {w for k, v in attributes if k in ("class", "id") for w in (v or "").lower().replace("_", "-").replace("-", " ").split()}
+    words = {w for k, v in attributes if k in ("class", "id") for w in (v or "").lower().replace("_", " ").replace("-", " ").split()}
+    if tag in ("main", "html", "body"):
+        words = set()
+    elif tag == "article":  # a reader's comment may be one, a notice or a sidebar is not
+        words &= COMMENTS
     values = dict(attributes)
     return (
         bool(words & WORDS)

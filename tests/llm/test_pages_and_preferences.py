@@ -30,6 +30,7 @@ def texts(df, **more):
         ("<body>text<script>var t='</p>';</script><style>p{}</style><!-- c --><noscript>n</noscript></body>", "text"),
         ("<div class='side-bar cookie-notice'>c</div>kept<div id=sidebar>s</div><div role=navigation>n</div>", "kept"),
         ("<article>a</article><section class=comments><article>reader</article></section>", "a"),
+        ("<article class='post ad-free'>a</article><article class='reader-comment'>c</article>", "a"),
         ("<ul><li>x<li>y</ul><table><tr><td>1<td>2<tr><td>3</table>", "x y 1 2 3"),
         ("<form>f</form><aside>s</aside><div hidden>h</div><div style='display: none'>d</div>", ""),
         ("", ""),
