@@ -16,9 +16,12 @@ from tagspark.defaults import (
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(label_idx, tag_id, name, category, count); label_idx is the row number in the file.
 
-    The file is one vocabulary. Read as one piece (`multiLine`), its rows keep their order.
+    The file is one vocabulary. Read as one piece (`multiLine`), its rows keep their order; several
+    files have no order among them and are rejected.
     """
     table = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    if len(table.inputFiles()) > 1:
+        raise ValueError(f"a label table is one file, {path} is several")
     number = {c: F.col(c).try_cast("int") for c in ("tag_id", "category", "count") if c in table.columns}
     return table.select(
         F.monotonically_increasing_id().cast("int").alias("label_idx"),

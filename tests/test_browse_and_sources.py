@@ -199,3 +199,13 @@ def test_no_rows_at_all(spark):
     none = spark.createDataFrame([], "pos bigint, file_id bigint")
     assert B.neighbours(none).count() == 0 and B.run_order(none).count() == 0
     assert B.run_order(none).agg(F.count("*")).first()[0] == 0
+
+
+def test_a_label_table_is_one_file(spark, tmp_path):
+    from tagspark.sources.labels import read_labels
+
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("tag_id,name,category,count\n1,x,0,1\n")
+    assert read_labels(spark, str(tmp_path / "a.csv")).count() == 1
+    with pytest.raises(ValueError, match="several"):
+        read_labels(spark, str(tmp_path))
