@@ -55,10 +55,11 @@ of whole numbers, that column.
     texts = cut.where("row is not null").select("row", "file_id", "key", "n_chars", "text_sha256", "blocks")
     named = _name_files(texts, _name_blocks(cut.where("number is not null").select("number", "block")))
 
-    full = texts.drop("blocks").join(named, "row")
+    full = cut_lineage(texts.drop("blocks").join(named, "row"), "named-texts")
     best_first = F.struct(-F.col("n_chars"), F.col("file_id").isNull(), "file_id", "row")
-    groups = full.groupBy("level", "identity").agg(
-        F.count("*").alias("group_size"), F.min(best_first).alias("keep")
+    # Written before it is joined: only a join of two plain exchanges is split where a key is frequent.
+    groups = cut_lineage(
+        full.groupBy("level", "identity").agg(F.count("*").alias("group_size"), F.min(best_first).alias("keep")), "text-groups"
     )
     return full.join(groups, ["level", "identity"]).select(
         "file_id",
@@ -156,6 +157,7 @@ def _name_files(texts: DataFrame, names: DataFrame) -> DataFrame:
         )
         # Rows leave room for their blocks, so row + pos is another integer for each pair.
         named = pairs.groupBy("left", "right").agg(F.min(F.col("row") + F.col("pos")).alias("name"))
+        named = cut_lineage(named, "pair-names")
         parts = cut_lineage(
             pairs.join(named, ["left", "right"]).select(
                 "row", F.ceil(F.col("n") / 2).cast("int").alias("n"), "pos", "name"
