@@ -102,8 +102,9 @@ def near_duplicates(
     joined = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
     )
-    best = joined.groupBy("root").agg(F.min("first").alias("best"))
-    # Written first: a join whose sides are both plain exchanges is split where a key is frequent.
+    # Tables that are joined are written first: a join of plain exchanges is split where a key is frequent.
+    joined = cut_lineage(joined, "rooted-fingerprints")
+    best = cut_lineage(joined.groupBy("root").agg(F.min("first").alias("best")), "components")
     classes = cut_lineage(joined.join(best, "root").select("fingerprint", "best"), "classes")
     return rows.join(classes, "fingerprint").select(
         "file_id",
