@@ -22,9 +22,9 @@ ROW = "_pipeline_row"
 def _decided(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows of `docs` with what an operator says of them; it hands their number through.
 
-    `docs` is a stored table, so every scan gives a row the same number.
+    Numbers follow the splits of a scan, which may change from one to the next; they are written once.
     """
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    numbered = cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
     return numbered.join(decide(as_files(numbered, ROW)), ROW)
 
 

@@ -90,3 +90,23 @@ def test_an_empty_table_goes_through(spark, docs):
         empty = cut_lineage(stage(spark, empty, "unused"), "empty")
         assert empty.count() == 0
     assert C.pack(spark, empty, "unused").count() == 0
+
+
+def test_rows_are_found_again_when_files_are_split_otherwise(spark):
+    stored = cut_lineage(spark.range(4_000).select(
+        F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit("en").alias("lang"),
+        F.lit("s").alias("source"), F.lit(64).cast("bigint").alias("n_chars"),
+    ).repartition(3), "split-test")
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+
+    def decide(files):
+        decided = cut_lineage(files.select(C.ROW, F.col("file_id").alias("decided")), "decided")
+        spark.conf.set(setting, "10000")
+        return decided
+
+    try:
+        found = C._decided(stored, decide)
+        assert found.count() == 4_000 and found.where("doc_id = decided").count() == 4_000
+    finally:
+        spark.conf.set(setting, before)
