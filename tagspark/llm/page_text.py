@@ -62,27 +62,54 @@ WORDS = frozenset(
 )
 
 
+OF_OTHERS = frozenset(("has", "no", "with", "without"))
+IN_HEAD = frozenset("base head link meta noscript script style template title".split())
+PARAGRAPHS = frozenset(("blockquote", "p", "pre"))
+
+
 class _Element:
-    __slots__ = ("tag", "number", "parts", "drop", "article", "holds")
+    __slots__ = ("tag", "number", "parts", "drop", "article", "holds", "soft", "comments")
 
     def __init__(self, tag: str, number: int, drop: bool, article: bool) -> None:
         self.tag, self.number, self.drop, self.article = tag, number, drop, article
         self.holds = False  # has an article inside
+        self.soft = False  # is dropped for its words or for being a form, unless it holds the page's text
+        self.comments = False  # says that it is readers' comments
         self.parts: list[str | _Element] = []
 
 
 def _dropped(tag: str, attributes: list[tuple[str, str | None]], in_article: bool) -> bool:
     if tag in NEVER or (tag == "header" and not in_article):
         return True
-    words = {w for k, v in attributes if k in ("class", "id") for w in (v or "").lower().replace("_", " ").replace("-", " ").split()}
+    return _named_so(tag, attributes) or _hidden(attributes)
+
+
+def _class_words(attributes: list[tuple[str, str | None]]) -> set[str]:
+    """Words of class and id; what stands after "has", "no", "with" or "without" in one name is not what the element is."""
+    words: set[str] = set()
+    for key, value in attributes:
+        if key in ("class", "id"):
+            for name in (value or "").lower().split():
+                for word in name.replace("_", "-").split("-"):
+                    if word in OF_OTHERS:
+                        break
+                    words.add(word)
+    return words
+
+
+def _named_so(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    words = _class_words(attributes)
     if tag in ("main", "html", "body"):
         words = set()
     elif tag == "article":  # a reader's comment may be one, a notice or a sidebar is not
         words &= COMMENTS
+    return bool(words & WORDS)
+
+
+def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
     values = dict(attributes)
     return (
-        bool(words & WORDS)
-        or (values.get("role") or "").lower() in ROLES
+        (values.get("role") or "").lower() in ROLES
         or "hidden" in values
         or values.get("aria-hidden") == "true"
         or "display:none" in (values.get("style") or "").replace(" ", "").lower()
@@ -97,10 +124,14 @@ class Tree(HTMLParser):
         self.root = _Element("", -1, False, False)
         self.open = [self.root]
         self.count = 0
+        self.softs: list[_Element] = []
         self.feed(html)
         self.close()
+        self._keep_wrappers()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" or (self.open[-1].tag == "head" and tag not in IN_HEAD):
+            self._end(("head",), frozenset())
         if tag in CLOSES_P:
             self._end(("p",), SCOPES)
         if tag in ENDED_BY:
@@ -108,6 +139,10 @@ class Tree(HTMLParser):
         parent = self.open[-1]
         element = _Element(tag, self.count, _dropped(tag, attrs, parent.article), parent.article or tag in ARTICLE)
         self.count += 1
+        element.soft = element.drop and not _hidden(attrs) and (tag == "form" or tag not in NEVER | {"header"})
+        element.comments = bool(_class_words(attrs) & COMMENTS)
+        if element.soft:
+            self.softs.append(element)
         parent.parts.append(element)
         if tag in ARTICLE:
             for outer in self.open:
@@ -132,6 +167,34 @@ class Tree(HTMLParser):
             if self.open[place].tag in stop:
                 return
 
+    def _keep_wrappers(self) -> None:
+        """Forms and elements with telling words stay if they hold an article that is text, or most of a page's prose."""
+        if not self.softs:
+            return
+        order, stack = [], [(self.root, False, False)]
+        while stack:  # elements with whether they are lost for good, and whether they are part of a paragraph
+            element, lost, written = stack.pop()
+            lost = lost or (element.drop and not element.soft)
+            written = written or element.tag in PARAGRAPHS
+            order.append((element, lost, written))
+            stack.extend((p, lost, written) for p in element.parts if isinstance(p, _Element))
+        words: dict[int, int] = {}
+        prose: dict[int, int] = {}
+        articles: set[int] = set()
+        mains: set[int] = set()
+        for element, lost, written in reversed(order):
+            inside = [p.number for p in element.parts if isinstance(p, _Element)]
+            if not lost and (element.tag == "main" or not mains.isdisjoint(inside)):
+                mains.add(element.number)
+            # What readers write is no text, also where it is an article, unless the main part is in it.
+            lost = lost or (element.soft and element.comments and element.number not in mains)
+            own = sum(len(p.split()) for p in element.parts if isinstance(p, str))
+            words[element.number] = 0 if lost else own + sum(words[n] for n in inside)
+            prose[element.number] = 0 if lost else own * written + sum(prose[n] for n in inside)
+            if not lost and ((element.tag in ARTICLE and not element.drop) or not articles.isdisjoint(inside)):
+                articles.add(element.number)
+        for element in self.softs:
+            element.drop = element.number not in articles and 2 * prose[element.number] <= words[-1]
 
     @property
     def tops(self) -> list[_Element]:

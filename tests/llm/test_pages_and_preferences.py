@@ -127,3 +127,24 @@ def test_a_long_session_is_compared_turn_by_turn(spark):
     df = P.preference_segments(turns(spark, *rows), pairs(spark, (1, 1, 2)))
     assert got(df.groupBy("part").count()) == [("chosen", 100), ("prompt", 900), ("rejected", 100)]
     assert len(assembled(df)[1, "chosen"][1]) == 50
+
+
+@pytest.mark.parametrize(
+    "html, wanted",
+    [
+        ("<body><div class='layout has-sidebar'><p>our text</p><div class=sidebar>s</div></div></body>", "our text"),
+        ("<div class='no-sidebar'>our text</div>", "our text"),
+        ("<div id='page-with-menu'><article>our text</article><div class=menu>m</div></div>", "our text"),
+        ("<div class='widget-page'><main>our text</main></div><div class=widget>w</div>", "our text"),
+        ("<div class='social-wrap'><p>our long text</p></div><div class=menu>m</div>", "our long text"),
+        ("<body><form action=x><p>our long text</p><button>go</button></form></body>", "our long text"),
+        ("<form><article>our text</article></form>", "our text"),
+        ("<html><head><title>t</title><body><p>our text</p></body></html>", "our text"),
+        ("<html><head><title>t</title><p>our text</p></html>", "our text"),
+        ("<div class=comments><main>our text</main></div>", "our text"),
+        ("<p>our text</p><div class=comments><p>much longer text of readers</p><article>a</article></div>", "our text"),
+        ("<p>our text</p><form><p>mail</p></form><div class=sidebar><p>see</p></div>", "our text"),
+    ],
+)
+def test_wrappers_of_a_page_are_not_dropped(spark, html, wanted):
+    assert T.page_texts(pages(spark, (1, "http://h/x", html))).first()["text"] == wanted
