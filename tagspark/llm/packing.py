@@ -76,7 +76,7 @@ def pack_files(
 
 
 def _pack(batches, vocabulary, size, end_id, cost, window, with_ids) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary).encode
+    encode = encoder(vocabulary, added_tokens=True).encode
     end = int(end_id).to_bytes(ID_BYTES, "little")
     task = TaskContext.get().partitionId() << TASK_BITS
     next_sequence = 0

@@ -66,7 +66,7 @@ def write_token_files(
 
 
 def _write(batches, vocabulary: str, end_id: int, block_ids: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary).encode
+    encode = encoder(vocabulary, added_tokens=True).encode
     end = int(end_id).to_bytes(4, "little")
     block, size = 0, 0
     held: list[tuple] = []

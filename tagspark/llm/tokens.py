@@ -70,19 +70,23 @@ class _Words(dict):
 class TokenEncoder:
     """Ids of whole texts, equal to those of `Tokenizer.encode(text, add_special_tokens=False)`.
 
-    Strings of special tokens are ordinary text. No piece that is merged reaches over a space that
+    With `added_tokens` the strings of added tokens in a text are those tokens, as the library has it
+    by default, and texts that hold one are encoded as a whole; without it they are ordinary text
+    (the library's `encode_special_tokens`). No piece that is merged reaches over a space that
     has something other than white space on one side, so texts are encoded word by word and words
     are remembered; the few texts with spaces inside longer gaps are encoded as a whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added_tokens and added else None
         self.words = _Words(_Pieces(self.tokenizer))
 
     def encode(self, text: str) -> bytes:
         """Unsigned 32-bit little-endian ids."""
-        if _INSIDE_GAP.search(text):
+        if _INSIDE_GAP.search(text) or (self.added and self.added.search(text)):
             return self._whole(text)
         first, *words = text.split(" ")
         return self._whole(first) + b"".join(map(self.words.__getitem__, words))
@@ -94,6 +98,6 @@ class TokenEncoder:
 
 
 @cache
-def encoder(path: str) -> TokenEncoder:
-    """One encoder per Python worker and vocabulary; it lives as long as the worker."""
-    return TokenEncoder(path)
+def encoder(path: str, added_tokens: bool = False) -> TokenEncoder:
+    """One encoder per Python worker, vocabulary and way with added tokens; it lives as long as the worker."""
+    return TokenEncoder(path, added_tokens)

@@ -141,3 +141,15 @@ def test_token_files_of_nothing(spark, no_files):
     path = fresh_path(spark, "token-test")
     token_files.write_token_files(no_files, path, VOCABULARY)
     assert got(token_files.read_token_files(spark, path)) == []
+
+
+def test_added_tokens_in_texts_are_those_of_the_plain_library(spark):
+    plain = Tokenizer.from_file(VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z  <|endoftext|>", "no such <|endof text|>", "one two"]
+    df = files(spark, *[(i, t, None) for i, t in enumerate(texts)])
+    check_pieces(plain, list(enumerate(texts)), packing.pack_files(df, VOCABULARY).collect(), 1_024, 0)
+    path = fresh_path(spark, "token-test")
+    token_files.write_token_files(df, path, VOCABULARY)
+    found = {r["file_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_files.read_token_files(spark, path, with_ids=True).collect()}
+    assert found == {i: ids_of(plain, t, 2) for i, t in enumerate(texts)}
+    assert found[0][:-1] == [64, 220, 50256, 275]
