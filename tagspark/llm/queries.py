@@ -19,6 +19,7 @@ from tagspark.llm import (
     passages,
     preferences,
     quality_votes,
+    repeated_runs,
     rule_ledger,
     simhash,
     token_files,
@@ -211,3 +212,30 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return as_documents(simhash.near_duplicates(files(spark, folder)))
+
+
+@query(
+    """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT *, unnest(generate_series(0, n - 50)) AS i FROM texts WHERE n >= 50)),
+firsts AS (SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w),
+late AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE doc_id > first_doc),
+opens AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS o FROM late),
+grouped AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM opens),
+runs AS (SELECT doc_id, min(i) AS low, max(i) + 50 AS high FROM grouped GROUP BY doc_id, g),
+gaps AS (
+  SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS low, low AS high FROM runs
+  UNION ALL SELECT doc_id, max(high), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * low + 1, 2 * (coalesce(high, n) - low)), '' ORDER BY low) AS k FROM gaps g JOIN texts t ON g.doc_id = t.doc_id GROUP BY g.doc_id),
+counted AS (SELECT doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM texts t LEFT JOIN counted c ON t.doc_id = c.doc_id LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+)
+def op11_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_runs.repeated_runs(files(spark, folder))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["length"])
+    spans = F.size("spans").cast("bigint")
+    return as_documents(found).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
