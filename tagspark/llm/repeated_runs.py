@@ -24,8 +24,10 @@ from tagspark.llm.texts import whole_text
 LENGTH = 50
 # Longest gram; shorter ones are used for short runs.
 GRAM = 16
-# Blocks of texts, and buckets of grams, for each shuffle partition.
+# Blocks of texts for each shuffle partition.
 PER_PARTITION = 4
+# Bytes of pieces that a task sorts at a time, all pieces of a gram together.
+SORT_BYTES = 1 << 23
 # A gram in more blocks than this is dealt out by whole runs.
 HOT_BLOCKS = 256
 # Bytes that are hashed at once, less than 2 ** PLACE_BITS.
@@ -238,21 +240,42 @@ def _send_keys(table: pa.Table, length: int, buckets: int) -> pa.Table:
     )
 
 
-def _mark_keys(table: pa.Table, hot_blocks: int) -> pa.Table:
+def _mark_keys(batches: Iterator[pa.RecordBatch], hot_blocks: int) -> Iterator[pa.RecordBatch]:
     """For each key of each block whether other blocks have it, and whether very many do."""
-    found = []
-    for data in table.column("keys").to_pylist():
-        planes = _unpacked(data, "u1")[0].reshape(6, -1)
-        gaps = np.zeros((planes.shape[1], 8), np.uint8)
-        gaps[:, :6] = planes.T
-        found.append(np.cumsum(gaps.view(_U).ravel()))
-    _, place, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    found, blocks, buckets = [], [], []
+    for batch in batches:
+        blocks += batch.column("block").to_pylist()
+        buckets += batch.column("bucket").to_pylist()
+        for data in batch.column("keys").to_pylist():
+            planes = _unpacked(data, "u1")[0].reshape(6, -1)
+            gaps = np.zeros((planes.shape[1], 8), np.uint8)
+            gaps[:, :6] = planes.T
+            found.append(np.cumsum(gaps.view(_U).ravel()))
+    _, place, times = np.unique(np.concatenate([np.zeros(0, _U), *found]), return_inverse=True, return_counts=True)
     times, at, rows = times[place], 0, []
     for keys in found:
         own = times[at : at + len(keys)]
         rows.append(_packed(np.packbits(own > 1), np.packbits(own > hot_blocks)))
         at += len(keys)
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "marks": pa.array(rows, pa.binary())})
+    columns = [pa.array(blocks, pa.int32()), pa.array(buckets, pa.int32()), pa.array(rows, pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "marks"])
+
+
+def _repeats(body: np.ndarray, offset: np.ndarray, size: np.ndarray, name: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Pieces that equal one of a smaller order, byte by byte."""
+    by = np.lexsort((order, size, name))
+    out = np.zeros(len(by), bool)
+    if len(by):
+        opens = np.concatenate([[True], (name[by][1:] != name[by][:-1]) | (size[by][1:] != size[by][:-1])])
+        first = by[np.maximum.accumulate(np.where(opens, np.arange(len(by)), 0))]
+        claims = order[by] > order[first]
+        mine, theirs = by[claims], first[claims]
+        out[mine] = _equal(body, offset[mine], offset[theirs], size[mine])
+    return out
+
+
+# Stands for a bucket where spans are known already.
+KNOWN = -1
 
 
 def _send_pieces(texts: pa.Table, marks: pa.Table, length: int, buckets: int) -> pa.Table:
@@ -295,18 +318,10 @@ def _send_pieces(texts: pa.Table, marks: pa.Table, length: int, buckets: int) ->
     doc, start, size, left, key, name, body = (np.concatenate([np.zeros(0, k), *c]) for c, k in zip(columns, empty, strict=True))
     offset = np.cumsum(size) - size
     order = block.order[doc] if len(doc) else np.zeros(0, _U)
-    by = np.lexsort((order, size, name))
-    opens = np.concatenate([[True], (name[by][1:] != name[by][:-1]) | (size[by][1:] != size[by][:-1])]) if len(by) else np.zeros(0, bool)
-    first = by[np.maximum.accumulate(np.where(opens, np.arange(len(by)), 0))]
-    covered = np.zeros(len(by), bool)
-    covered[by] = order[by] > order[first]
-    leader = np.empty(len(by), np.int64)
-    leader[by] = first
-    claims = np.flatnonzero(covered)
-    covered[claims] = _equal(body, offset[claims], offset[leader[claims]], size[claims])
+    covered = _repeats(body, offset, size, name, order)
     numbers, rows = [], []
     if covered.any():
-        numbers.append(-1 - block.number)
+        numbers.append(KNOWN)
         rows.append(_packed(doc[covered], start[covered], size[covered]))
     bucket = (key % _U(buckets)).astype(np.int64)
     sent = np.flatnonzero(~covered)
@@ -345,8 +360,10 @@ def _equal(body: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
 class Suffixes:
     """Runs of bytes from some places on, to the right or to the left, and how they compare."""
 
-    def __init__(self, body: np.ndarray, at: np.ndarray, reach: np.ndarray, leftward: bool = False) -> None:
-        self.body, self.prefix, self.at, self.reach, self.leftward = body, prefix_hashes(body), at, reach, leftward
+    def __init__(
+        self, body: np.ndarray, prefix: np.ndarray, at: np.ndarray, reach: np.ndarray, leftward: bool = False
+    ) -> None:
+        self.body, self.prefix, self.at, self.reach, self.leftward = body, prefix, at, reach, leftward
 
     def _hash(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         at = self.at[x]
@@ -354,7 +371,9 @@ class Suffixes:
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Bytes in which two runs agree from their places on, by binary search."""
-        low, high = np.zeros(len(x), np.int64), np.minimum(self.reach[x], self.reach[y])
+        high = np.minimum(self.reach[x], self.reach[y])
+        low = np.where(self._hash(x, high) == self._hash(y, high), high, 0)  # often they agree to the end
+        high = np.maximum(high - 1, low)
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
@@ -453,64 +472,96 @@ def sorted_runs(segment: np.ndarray, runs: Suffixes) -> tuple[np.ndarray, np.nda
     return order, common
 
 
-def _find_runs(table: pa.Table, length: int) -> pa.Table:
+def _find_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans of pieces that earlier texts hold, by block."""
-    number = table.column("bucket")[0].as_py()
-    if number < 0:
-        return pa.table({"block": table.column("block"), "spans": table.column("pieces")})
     gram = gram_of(length)
     kinds = ("u4", "u8", "u4", "i8", "u4", "u4", "u1")
-    parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-    for row, data in enumerate(table.column("pieces").to_pylist()):
-        docs, orders, at, start, size, left, body = _unpacked(data, *kinds)
-        at = np.cumsum(at.view(np.int32))
-        own = (np.full(len(at), row), np.cumsum(docs.astype(np.int64))[at], np.cumsum(orders)[at], start, size.astype(np.int64), left.astype(np.int64), body)
-        for part, values in zip(parts, own, strict=True):
-            part.append(values)
-    row, doc, order, start, size, left, body = map(np.concatenate, parts)
-    anchor = np.cumsum(size) - size + left
-    words = np.zeros((len(anchor), GRAM), np.uint8)
-    words[:, :gram] = body[anchor[:, None] + np.arange(gram)]
-    high, low = words.view(">u8").astype(_U).T
-    by = np.lexsort((low, high))
+    parts: list[list[np.ndarray]] = [[] for _ in range(10)]
+    for batch in batches:
+        known = pc.equal(batch.column("bucket"), KNOWN)
+        yield pa.RecordBatch.from_arrays([c.filter(known) for c in batch.columns[1:]], names=["block", "spans"])
+        rest = batch.filter(pc.invert(known))
+        for block, data in zip(rest.column("block").to_pylist(), rest.column("pieces").to_pylist(), strict=True):
+            docs, orders, at, start, size, left, body = _unpacked(data, *kinds)
+            at, size, left = np.cumsum(at.view(np.int32)), size.astype(np.int64), left.astype(np.int64)
+            offset = np.cumsum(size) - size
+            grams = np.zeros((len(at), GRAM), np.uint8)
+            grams[:, :gram] = body[(offset + left)[:, None] + np.arange(gram)]
+            high, low = grams.view(">u8").astype(_U).T
+            name = run_hash(prefix_hashes(body), offset, offset + size)
+            own = np.full(len(at), block), np.cumsum(docs.astype(np.int64))[at], np.cumsum(orders)[at]
+            for part, values in zip(parts, (*own, start, size, left, high, low, name, body), strict=True):
+                part.append(values)
+    if not parts[0]:
+        return
+    *columns, body = map(np.concatenate, parts)
+    size = columns[4]
+    offset = np.cumsum(size) - size
+    share = _mixed(columns[6] ^ columns[7] * _U(BASE)) % _U(1 + len(body) // SORT_BYTES)
+    for k in range(int(share.max()) + 1):
+        own = np.flatnonzero(share == k)
+        mine = [c[own] for c in columns]
+        block, doc, start, size = _spans_of(*mine, body[_spread(offset[own], mine[4])], length)
+        numbers = np.unique(block)
+        rows = [_packed(*[c[block == b] for c in (doc, start, size)]) for b in numbers]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(rows, pa.binary())], names=["block", "spans"])
+
+
+def _spans_of(block, doc, order, start, size, left, high, low, name, body, length: int) -> tuple[np.ndarray, ...]:
+    """Block, document, start and size of the spans of pieces that stand in a text of a smaller order."""
+    gram, offset = gram_of(length), np.cumsum(size) - size
+    repeated = _repeats(body, offset, size, name, order)
+    ready = tuple(c[repeated] for c in (block, doc, start, size))
+    by = np.lexsort((order, low, high))
+    by = by[~repeated[by]]
+    if not len(by):
+        return ready
     opens = np.concatenate([[True], (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])])
     at = np.flatnonzero(opens)
-    several = np.minimum.reduceat(order[by], at) < np.maximum.reduceat(order[by], at)
     sizes = np.diff(np.append(at, len(by)))
-    by = by[np.repeat(several, sizes)]
-    segment = np.repeat(np.arange(len(at)), sizes)[np.repeat(several, sizes)]
-    row, doc, order, start, size, left, anchor = (v[by] for v in (row, doc, order, start, size, left, anchor))
-
-    right_order, right_common = sorted_runs(segment, Suffixes(body, anchor, size - left))
-    left_order, left_common = sorted_runs(segment, Suffixes(body, anchor, left, leftward=True))
+    several = np.repeat(order[by[at]] < order[by[at + sizes - 1]], sizes)
+    by, segment = by[several], np.repeat(np.arange(len(at)), sizes)[several]
+    anchor = offset + left
+    prefix = prefix_hashes(body)
+    # In a segment pieces stand by their order; first those go whose right sides agree too little.
+    place, right_common, best_right = _sorted_places(segment, Suffixes(body, prefix, anchor[by], (size - left)[by]))
+    near = best_right >= length - left[by]
+    by, segment = by[near], segment[near]
+    place, right_common, best_right = _sorted_places(segment, Suffixes(body, prefix, anchor[by], (size - left)[by])) if not near.all() else (place, right_common, best_right)
+    left_place, left_common, best_left = _sorted_places(segment, Suffixes(body, prefix, anchor[by], left[by], leftward=True))
+    order, start_, left_, size_ = order[by], start[by], left[by], size[by]
+    most = np.minimum(best_left, left_)
     found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    right, left_ = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
     for before in range(length - gram + 1):
         # Runs that begin so many bytes before the gram: equal if both sides are in one interval.
-        has = np.flatnonzero((before <= left) & (left - before + length <= size))
-        if not len(has):
+        has = np.flatnonzero((before <= most) & (best_right >= length - before) & (left_ - before + length <= size_))
+        if len(has) < 2:
             continue
-        right[right_order] = np.cumsum(right_common < length - before)
-        left_[left_order] = np.cumsum(left_common < before)
-        name = right[has] * (len(by) + 1) + left_[has]
-        sort = np.lexsort((order[has], name))
-        name, mine = name[sort], order[has][sort]
-        group = np.maximum.accumulate(np.where(np.concatenate([[True], name[1:] != name[:-1]]), np.arange(len(name)), 0))
-        late = sort[mine > mine[group]]
-        found.append(has[late])
-        places.append(left[has[late]] - before)
-    piece, place = np.concatenate(found), np.concatenate(places)
-    sort = np.lexsort((place, piece))
-    piece, place = piece[sort], place[sort]
-    opens = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (np.diff(place) > length)])) if len(piece) else piece
-    ends = np.append(opens[1:], len(piece)) - 1 if len(piece) else piece
-    block = np.array(table.column("block").to_pylist())[row[piece[opens]]]
-    columns = (doc[piece[opens]], start[piece[opens]] + place[opens], place[ends] - place[opens] + length)
-    numbers, rows = [], []
-    for b in np.unique(block).tolist():
-        numbers.append(b)
-        rows.append(_packed(*[c[block == b] for c in columns]))
-    return pa.table({"block": pa.array(numbers, pa.int32()), "spans": pa.array(rows, pa.binary())})
+        right = np.cumsum(right_common < length - before)[place[has]]
+        mine = right * (len(by) + 1) + np.cumsum(left_common < before)[left_place[has]]
+        sort = np.argsort(mine, kind="stable")
+        opens = np.concatenate([[True], mine[sort][1:] != mine[sort][:-1]])
+        first = np.maximum.accumulate(np.where(opens, np.arange(len(sort)), 0))
+        late = has[sort[order[has[sort]] > order[has[sort[first]]]]]
+        found.append(late)
+        places.append(left_[late] - before)
+    piece, at = np.concatenate(found), np.concatenate(places)
+    sort = np.lexsort((at, piece))
+    piece, at = piece[sort], at[sort]
+    new = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (np.diff(at) > length)])) if len(piece) else piece
+    ends = np.append(new[1:], len(piece)) - 1 if len(piece) else piece
+    row = by[piece[new]]
+    spans = (block[row], doc[row], start[row] + at[new], at[ends] - at[new] + length)
+    return tuple(np.concatenate(c) for c in zip(ready, spans, strict=True))
+
+
+def _sorted_places(segment: np.ndarray, runs: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each run in sorted order, common lengths along that order, and the longest one of each run with another."""
+    order, common = sorted_runs(segment, runs)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    after = np.append(common[1:], -1)
+    return place, common, np.maximum(common, after)[place]
 
 
 RESULT = "file_id bigint, n_bytes bigint, spans array<struct<start:bigint,length:bigint>>, kept binary"
@@ -560,22 +611,23 @@ def repeated_runs(files: DataFrame, length: int = LENGTH, hot_blocks: int = HOT_
     Texts are dealt once into blocks by content and id. Of each block the distinct grams travel as
     48 bits each, come back with a mark if other blocks have them, and only pieces with such a gram
     are sent, one for equal pieces of a block. Grams in more than `hot_blocks` blocks are dealt out
-    by whole runs, so no gram's pieces gather without bound. A block holds a share of all texts that
-    `spark.sql.shuffle.partitions` sets; it is what a task keeps in memory at a time. `length` is
-    at least 3.
+    by whole runs, so no gram's pieces gather without bound. What a task keeps in memory, a block of
+    texts or its share of the pieces, is a share of the table that `spark.sql.shuffle.partitions`
+    sets. `length` is at least 3.
     """
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = buckets = PER_PARTITION * n
+    blocks = PER_PARTITION * n
     rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), whole_text().alias("tag_text"))
     texts = rows.mapInArrow(lambda b: _pack_texts(b, blocks), "block int, texts binary").repartition(n, "block")
-    keys = texts.groupBy("block").applyInArrow(lambda t: _send_keys(t, length, buckets), "bucket int, block int, keys binary")
-    marks = keys.repartition(n, "bucket").groupBy("bucket").applyInArrow(
-        lambda t: _mark_keys(t, hot_blocks), "block int, bucket int, marks binary"
+    keys = texts.groupBy("block").applyInArrow(lambda t: _send_keys(t, length, n), "bucket int, block int, keys binary")
+    marks = keys.repartitionById(n, F.col("bucket")).mapInArrow(
+        lambda b: _mark_keys(b, hot_blocks), "block int, bucket int, marks binary"
     )
     pieces = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
-        lambda t, m: _send_pieces(t, m, length, buckets), "bucket int, block int, pieces binary"
+        lambda t, m: _send_pieces(t, m, length, n), "bucket int, block int, pieces binary"
     )
-    spans = pieces.repartition(n, "bucket").groupBy("bucket").applyInArrow(
-        lambda t: _find_runs(t, length), "block int, spans binary"
+    goes_to = F.when(F.col("bucket") == KNOWN, F.col("block") % n).otherwise(F.col("bucket"))
+    spans = pieces.repartitionById(n, goes_to).mapInArrow(
+        lambda b: _find_runs(b, length), "block int, spans binary"
     )
     return texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut_texts, RESULT)
