@@ -22,6 +22,7 @@ from tagspark.llm import (
     repeated_runs,
     rule_ledger,
     simhash,
+    source_divergence,
     token_files,
 )
 from tagspark.session import fresh_path
@@ -239,3 +240,42 @@ def op11_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return as_documents(found).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query(
+    r"""
+WITH texts AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+found AS (SELECT r, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+kept AS (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+counts AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM found JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grouped AS (
+  SELECT g.lang, g.source, coalesce(s.v, 0) AS v, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM texts) g LEFT JOIN sizes s ON s.lang = g.lang),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // CAST(g.total + g.v AS HUGEINT) AS p
+  FROM grouped g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+langs AS (
+  SELECT k.lang, k.term, 1 + 1000000000 * (sum(n) + 1) // CAST(any_value(t.total) + any_value(s.v) AS HUGEINT) AS q
+  FROM kept k JOIN counts c ON c.lang = k.lang AND c.term = k.term JOIN sizes s ON s.lang = k.lang
+  JOIN (SELECT lang, sum(n) AS total FROM counts GROUP BY lang) t ON t.lang = k.lang GROUP BY k.lang, k.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+bare AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value FROM grouped a JOIN grouped b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0),
+terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, (p - q) * (p - q) // q AS value FROM shares s JOIN langs l ON l.lang = s.lang AND l.term = s.term WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM bare UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+)
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    texts = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("file_id"), F.col("lang").alias("mime"), F.col("source").alias("service_key"), F.col("text").alias("tag_text")
+    )
+    found = source_divergence.source_divergence(texts)
+    return found.withColumnsRenamed({"mime": "lang", "service_key": "source"})
