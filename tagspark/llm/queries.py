@@ -18,6 +18,7 @@ from tagspark.llm import (
     page_text,
     passages,
     preferences,
+    prefix_trie,
     quality_votes,
     repeated_runs,
     rule_ledger,
@@ -25,7 +26,8 @@ from tagspark.llm import (
     source_divergence,
     token_files,
 )
-from tagspark.session import fresh_path
+from tagspark.operators.ordered import with_ordinal
+from tagspark.session import cut_lineage, fresh_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -242,6 +244,61 @@ def op11_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rebuilt_sessions(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events of conversations that begin with h turns of another one, and all their ids."""
+    turns = conversations.where("conv_id IS NOT NULL").select(
+        "conv_id", "turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")]
+    )
+    ranked = cut_lineage(with_ordinal(turns, "turn", "rank", ["conv_id"]), "ranked-turns")
+    ids = ranked.select("conv_id").distinct()
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    own = ranked.where(F.col("rank") >= h).select("conv_id", "rank", "role", "text")
+    heads = ranked.where("rank < 3 AND conv_id % 20 = 0").select(F.col("conv_id").alias("base"), "rank", "role", "text")
+    taken = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("base")).join(heads, "base")
+    events = own.unionByName(taken.where(F.col("rank") < h).select("conv_id", "rank", "role", "text"))
+    as_events = events.select(F.col("conv_id").alias("session_id"), F.col("rank").alias("seq"), F.col("role").alias("type"), "text")
+    return as_events, ids.select(F.col("conv_id").alias("session_id"))
+
+
+@query(
+    r"""
+WITH ranked AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT conv_id, xor(CAST(4294967295 AS BIGINT), list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1))))) % 4 AS h
+  FROM ranked),
+rebuilt AS (
+  SELECT i.conv_id, r, role, text FROM ids i JOIN ranked o ON o.conv_id = i.conv_id WHERE r >= h
+  UNION ALL SELECT i.conv_id, r, role, text FROM ids i JOIN ranked o ON o.conv_id = i.conv_id - i.conv_id % 20 WHERE r < h),
+sequences AS (
+  SELECT i.conv_id, coalesce(list(role || chr(1) || text ORDER BY r) FILTER (WHERE r IS NOT NULL), []) AS s,
+    coalesce(list(CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) ORDER BY r) FILTER (WHERE r IS NOT NULL), []) AS w
+  FROM ids i LEFT JOIN rebuilt b ON b.conv_id = i.conv_id GROUP BY i.conv_id),
+members AS (SELECT *, unnest(generate_series(0, len(s))) AS d FROM sequences),
+nodes AS (
+  SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(any_value(w[d]), 0) AS words,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = d), '') AS ends
+  FROM members GROUP BY s[1:d], d),
+children AS (SELECT p[1:d-1] AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY p[1:d-1], d - 1),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.p = n.p),
+sums AS (
+  SELECT a.p, a.d, CAST(count(*) FILTER (WHERE b.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((b.n - 1) * b.words) AS BIGINT) AS saved_tokens
+  FROM counted a JOIN counted b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.p, a.d)
+SELECT c.conv_id, c.d AS depth, up.conv_id AS parent_conv_id, c.n AS n_convs, c.n_children, n_leaves, saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN sums s ON s.d = c.d AND s.p = c.p LEFT JOIN counted up ON up.d = c.d - 1 AND up.p = c.p[1:c.d-1]
+"""
+)
+def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    found = prefix_trie.prefix_trie(*rebuilt_sessions(table(spark, folder, "conversations")))
+    return found.drop("n_ends").withColumnsRenamed(
+        {"session_id": "conv_id", "parent_session_id": "parent_conv_id", "n_sessions": "n_convs", "saved_words": "saved_tokens"}
+    )
+
+
 @query(
     r"""
 WITH texts AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
