@@ -261,16 +261,17 @@ def _mark_keys(batches: Iterator[pa.RecordBatch], hot_blocks: int) -> Iterator[p
     yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "marks"])
 
 
-def _repeats(body: np.ndarray, offset: np.ndarray, size: np.ndarray, name: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Pieces that equal one of a smaller order, byte by byte."""
+def _leaders(body: np.ndarray, offset: np.ndarray, size: np.ndarray, name: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each piece the first one of the smallest order that equals it, byte by byte."""
     by = np.lexsort((order, size, name))
-    out = np.zeros(len(by), bool)
+    out = np.arange(len(by))
     if len(by):
         opens = np.concatenate([[True], (name[by][1:] != name[by][:-1]) | (size[by][1:] != size[by][:-1])])
         first = by[np.maximum.accumulate(np.where(opens, np.arange(len(by)), 0))]
-        claims = order[by] > order[first]
+        claims = by != first
         mine, theirs = by[claims], first[claims]
-        out[mine] = _equal(body, offset[mine], offset[theirs], size[mine])
+        same = _equal(body, offset[mine], offset[theirs], size[mine])
+        out[mine[same]] = theirs[same]
     return out
 
 
@@ -318,30 +319,33 @@ def _send_pieces(texts: pa.Table, marks: pa.Table, length: int, buckets: int) ->
     doc, start, size, left, key, name, body = (np.concatenate([np.zeros(0, k), *c]) for c, k in zip(columns, empty, strict=True))
     offset = np.cumsum(size) - size
     order = block.order[doc] if len(doc) else np.zeros(0, _U)
-    covered = _repeats(body, offset, size, name, order)
+    leader = _leaders(body, offset, size, name, order)
+    covered = order > order[leader]
     numbers, rows = [], []
     if covered.any():
         numbers.append(KNOWN)
         rows.append(_packed(doc[covered], start[covered], size[covered]))
+    # Of equal pieces of one text the bytes are sent once, with all places.
     bucket = (key % _U(buckets)).astype(np.int64)
     sent = np.flatnonzero(~covered)
-    sent = sent[np.lexsort((start[sent], doc[sent], bucket[sent]))]
+    sent = sent[np.lexsort((start[sent], doc[sent], leader[sent], bucket[sent]))]
     edges = np.searchsorted(bucket[sent], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
         own = sent[edges[b] : edges[b + 1]]
-        docs, at = np.unique(doc[own], return_inverse=True)
-        numbers.append(b)
+        opens = np.flatnonzero(np.concatenate([[True], leader[own][1:] != leader[own][:-1]]))
+        lead = own[opens]
         rows.append(
             _packed(
-                np.diff(docs, prepend=0).astype(np.uint32),
-                np.diff(block.order[docs], prepend=_U(0)),
-                np.diff(at, prepend=0).astype(np.uint32),
+                np.diff(order[lead], prepend=_U(0)),
+                size[lead].astype(np.uint16),
+                left[lead].astype(np.uint16),
+                np.diff(np.append(opens, len(own))).astype(np.uint32),
+                np.diff(doc[own], prepend=0).astype(np.int32),
                 start[own],
-                size[own].astype(np.uint32),
-                left[own].astype(np.uint32),
-                body[_spread(offset[own], size[own])],
+                body[_spread(offset[lead], size[lead])],
             )
         )
+        numbers.append(b)
     return pa.table(
         {"bucket": pa.array(numbers, pa.int32()), "block": pa.array([block.number] * len(rows), pa.int32()), "pieces": pa.array(rows, pa.binary())}
     )
@@ -475,43 +479,61 @@ def sorted_runs(segment: np.ndarray, runs: Suffixes) -> tuple[np.ndarray, np.nda
 def _find_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans of pieces that earlier texts hold, by block."""
     gram = gram_of(length)
-    kinds = ("u4", "u8", "u4", "i8", "u4", "u4", "u1")
-    parts: list[list[np.ndarray]] = [[] for _ in range(10)]
+    kinds = ("u8", "u2", "u2", "u4", "i4", "i8", "u1")
+    parts: list[list[np.ndarray]] = [[] for _ in range(9)]
     for batch in batches:
         known = pc.equal(batch.column("bucket"), KNOWN)
         yield pa.RecordBatch.from_arrays([c.filter(known) for c in batch.columns[1:]], names=["block", "spans"])
         rest = batch.filter(pc.invert(known))
         for block, data in zip(rest.column("block").to_pylist(), rest.column("pieces").to_pylist(), strict=True):
-            docs, orders, at, start, size, left, body = _unpacked(data, *kinds)
-            at, size, left = np.cumsum(at.view(np.int32)), size.astype(np.int64), left.astype(np.int64)
-            offset = np.cumsum(size) - size
-            grams = np.zeros((len(at), GRAM), np.uint8)
-            grams[:, :gram] = body[(offset + left)[:, None] + np.arange(gram)]
-            high, low = grams.view(">u8").astype(_U).T
-            name = run_hash(prefix_hashes(body), offset, offset + size)
-            own = np.full(len(at), block), np.cumsum(docs.astype(np.int64))[at], np.cumsum(orders)[at]
-            for part, values in zip(parts, (*own, start, size, left, high, low, name, body), strict=True):
+            orders, size, left, times, docs, start, body = _unpacked(data, *kinds)
+            anchor = np.cumsum(size, dtype=np.int64) - size + left
+            high, low = _grams(body, anchor, gram)
+            share = (_mixed(high ^ low * _U(BASE)) >> _U(32)).astype(np.uint32)
+            own = np.full(len(size), block, np.int32), np.cumsum(orders), size, left, share, times, np.cumsum(docs, dtype=np.int32), start, body
+            for part, values in zip(parts, own, strict=True):
                 part.append(values)
     if not parts[0]:
         return
-    *columns, body = map(np.concatenate, parts)
-    size = columns[4]
-    offset = np.cumsum(size) - size
-    share = _mixed(columns[6] ^ columns[7] * _U(BASE)) % _U(1 + len(body) // SORT_BYTES)
+    columns = []
+    for part in parts:  # one after the other, so that only one is held twice
+        columns.append(np.concatenate(part))
+        part.clear()
+    block, order, size, left, share, times, doc, start, body = columns
+    share %= np.uint32(1 + len(body) // SORT_BYTES)
+    size, left, times = (v.astype(np.int64) for v in (size, left, times))
+    offset, listed = np.cumsum(size) - size, np.cumsum(times) - times
     for k in range(int(share.max()) + 1):
         own = np.flatnonzero(share == k)
-        mine = [c[own] for c in columns]
-        block, doc, start, size = _spans_of(*mine, body[_spread(offset[own], mine[4])], length)
-        numbers = np.unique(block)
-        rows = [_packed(*[c[block == b] for c in (doc, start, size)]) for b in numbers]
+        piece, place, reach = _covered(order[own], size[own], left[own], body[_spread(offset[own], size[own])], length)
+        piece = own[piece]
+        # What holds for a piece holds at all its places.
+        n = times[piece]
+        at = _spread(listed[piece], n)
+        found = doc[at].astype(np.int64), start[at] + np.repeat(place, n), np.repeat(reach, n)
+        holder = np.repeat(block[piece], n)
+        numbers = np.unique(holder)
+        rows = [_packed(*[c[holder == b] for c in found]) for b in numbers]
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(rows, pa.binary())], names=["block", "spans"])
 
 
-def _spans_of(block, doc, order, start, size, left, high, low, name, body, length: int) -> tuple[np.ndarray, ...]:
-    """Block, document, start and size of the spans of pieces that stand in a text of a smaller order."""
+def _grams(body: np.ndarray, anchor: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each gram as two numbers."""
+    grams = np.zeros((len(anchor), GRAM), np.uint8)
+    grams[:, :gram] = body[anchor[:, None] + np.arange(gram)]
+    high, low = grams.view(">u8").astype(_U).T
+    return high, low
+
+
+def _covered(order: np.ndarray, size: np.ndarray, left: np.ndarray, body: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Pieces, and stretches of them, that stand in a text of a smaller order."""
     gram, offset = gram_of(length), np.cumsum(size) - size
-    repeated = _repeats(body, offset, size, name, order)
-    ready = tuple(c[repeated] for c in (block, doc, start, size))
+    prefix = prefix_hashes(body)
+    high, low = _grams(body, offset + left, gram)
+    leader = _leaders(body, offset, size, run_hash(prefix, offset, offset + size), order)
+    repeated = order > order[leader]
+    again = np.flatnonzero(repeated)
+    ready = again, np.zeros(len(again), np.int64), size[again]
     by = np.lexsort((order, low, high))
     by = by[~repeated[by]]
     if not len(by):
@@ -522,14 +544,13 @@ def _spans_of(block, doc, order, start, size, left, high, low, name, body, lengt
     several = np.repeat(order[by[at]] < order[by[at + sizes - 1]], sizes)
     by, segment = by[several], np.repeat(np.arange(len(at)), sizes)[several]
     anchor = offset + left
-    prefix = prefix_hashes(body)
     # In a segment pieces stand by their order; first those go whose right sides agree too little.
     place, right_common, best_right = _sorted_places(segment, Suffixes(body, prefix, anchor[by], (size - left)[by]))
     near = best_right >= length - left[by]
     by, segment = by[near], segment[near]
     place, right_common, best_right = _sorted_places(segment, Suffixes(body, prefix, anchor[by], (size - left)[by])) if not near.all() else (place, right_common, best_right)
     left_place, left_common, best_left = _sorted_places(segment, Suffixes(body, prefix, anchor[by], left[by], leftward=True))
-    order, start_, left_, size_ = order[by], start[by], left[by], size[by]
+    order, left_, size_ = order[by], left[by], size[by]
     most = np.minimum(best_left, left_)
     found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for before in range(length - gram + 1):
@@ -550,9 +571,8 @@ def _spans_of(block, doc, order, start, size, left, high, low, name, body, lengt
     piece, at = piece[sort], at[sort]
     new = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (np.diff(at) > length)])) if len(piece) else piece
     ends = np.append(new[1:], len(piece)) - 1 if len(piece) else piece
-    row = by[piece[new]]
-    spans = (block[row], doc[row], start[row] + at[new], at[ends] - at[new] + length)
-    return tuple(np.concatenate(c) for c in zip(ready, spans, strict=True))
+    found_ = by[piece[new]], at[new], at[ends] - at[new] + length
+    return tuple(np.concatenate(c) for c in zip(ready, found_, strict=True))
 
 
 def _sorted_places(segment: np.ndarray, runs: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
