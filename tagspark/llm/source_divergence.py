@@ -24,45 +24,121 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_FILES = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-# Distinct chunks that a task counts before it hands them on.
-HELD_CHUNKS = 200_000
-
-_COUNTED = "mime string, service_key string, chunk string, n bigint, seen array<bigint>"
+# Words that a task sorts at a time, and counts that it holds before it hands them on.
+SORT_WORDS = 1 << 20
+HELD_COUNTS = 1 << 21
+
+_COUNTED = "chunk string, mime_id bigint, seen array<bigint>, groups array<bigint>, counts array<bigint>"
+
+
+class _Numbers(dict):
+    """Numbers things as they come."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of sorted keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _ranks(starts: np.ndarray, n: int) -> np.ndarray:
+    """Place of each of n sorted rows in its group."""
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
+class _ChunkCounts:
+    """Counts of chunks by group, and of each chunk and mime type the first rows that hold it."""
+
+    def __init__(self, min_files: int) -> None:
+        self.min_files = min_files
+        self.chunks, self.groups = _Numbers(), _Numbers()
+        self.counts: list[np.ndarray] = []
+        self.seen: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+        self.docs: list[tuple[int, int]] = []
+        self.n_words = self.n_held = 0
+
+    def add(self, text: bytes, group: tuple[int, int], row: int) -> None:
+        words = text.split()
+        if words:
+            self.words.append(np.fromiter(map(self.chunks.__getitem__, words), np.int64, len(words)))
+            self.docs.append((self.groups[group], row))
+            self.n_words += len(words)
+            if self.n_words >= SORT_WORDS:
+                self._count()
+
+    def _mimes(self) -> np.ndarray:
+        numbers = _Numbers()
+        return np.array([numbers[m] for m, _ in self.groups], np.int64)
+
+    def _count(self) -> None:
+        """Chunks of each row once, with their count, then by group."""
+        if not self.words:
+            return
+        sizes = [len(w) for w in self.words]
+        code = np.repeat(np.arange(len(sizes)), sizes) << 40 | np.concatenate(self.words)
+        code, n = np.unique(code, return_counts=True)
+        doc, chunk = code >> 40, code & (1 << 40) - 1
+        group, row = np.array(self.docs, np.int64)[doc].T
+        mime = self._mimes()[group]
+        by = np.lexsort((row, mime, chunk))
+        first = _ranks(_heads(chunk[by], mime[by]), len(by)) < self.min_files
+        self.seen.append(np.stack([chunk[by], mime[by], row[by]])[:, first])
+        by = np.lexsort((group, chunk))
+        starts = _heads(chunk[by], group[by])
+        self.counts.append(np.stack([chunk[by][starts], group[by][starts], np.add.reduceat(n[by], starts)]))
+        self.n_held += self.counts[-1].shape[1]
+        self.words, self.docs, self.n_words = [], [], 0
+
+    def take(self) -> pa.RecordBatch:
+        """One row for each chunk and mime type; nothing is held after that."""
+        self._count()
+        empty = [np.zeros((3, 0), np.int64)]
+        chunk, group, n = np.concatenate(empty + self.counts, axis=1)
+        mime = self._mimes()[group]
+        by = np.lexsort((group, mime, chunk))
+        chunk, mime, group, n = chunk[by], mime[by], group[by], n[by]
+        starts = _heads(chunk, mime, group)
+        n = np.add.reduceat(n, starts) if len(n) else n
+        chunk, mime, group = chunk[starts], mime[starts], group[starts]
+        rows = _heads(chunk, mime)
+        held, of, row = np.concatenate(empty + self.seen, axis=1)
+        by = np.lexsort((row, of, held))
+        held, of, row = held[by], of[by], row[by]
+        starts = _heads(held, of)
+        first = _ranks(starts, len(by)) < self.min_files
+        sizes = np.minimum(np.diff(np.append(starts, len(by))), self.min_files)
+        ids = np.array(list(self.groups), np.int64).reshape(-1, 2)
+        names = pa.array(list(self.chunks), pa.binary()).take(pa.array(chunk[rows])).cast(pa.string())
+        ends = pa.array(np.append(rows, len(chunk)), pa.int32())
+        columns = [
+            names,
+            pa.array(ids[group[rows], 0]),
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(row[first])),
+            pa.ListArray.from_arrays(ends, pa.array(ids[group, 1])),
+            pa.ListArray.from_arrays(ends, pa.array(n)),
+        ]
+        self.__init__(self.min_files)
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "mime_id", "seen", "groups", "counts"])
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch], min_files: int) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each chunk by group, and up to `min_files` rows that hold it; each group once without a chunk."""
+    """Chunks of a task's rows (mime_id, group_id, tag_text) with their counts by group."""
     row = TaskContext.get().partitionId() << 40
-    groups: dict[tuple[str, str], dict[bytes, list]] = {}
-    held = 0
-
-    def counted() -> pa.RecordBatch:
-        flat = [(mime, key, None, 0, []) for mime, key in groups]
-        flat += [(*group, chunk, e[0], e[1:]) for group, chunks in groups.items() for chunk, e in chunks.items()]
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-        columns = [pa.array([f[k] for f in flat], kind) for k, kind in enumerate(kinds)]
-        columns[2] = columns[2].cast(pa.string())
-        return pa.RecordBatch.from_arrays(columns, names=["mime", "service_key", "chunk", "n", "seen"])
-
+    held = _ChunkCounts(min_files)
     for batch in batches:
-        mimes, keys = batch.column("mime").to_pylist(), batch.column("service_key").to_pylist()
-        for mime, key, text in zip(mimes, keys, pc.cast(batch.column("tag_text"), pa.binary()).to_pylist(), strict=True):
-            chunks = groups.setdefault((mime, key), {})
-            for chunk, n in Counter(text.split()).items():
-                entry = chunks.get(chunk)
-                if entry is None:
-                    chunks[chunk] = [n, row]
-                    held += 1
-                else:
-                    entry[0] += n
-                    if len(entry) <= min_files:
-                        entry.append(row)
+        groups = zip(batch.column("mime_id").to_pylist(), batch.column("group_id").to_pylist(), strict=True)
+        for group, text in zip(groups, pc.cast(batch.column("tag_text"), pa.binary()).to_pylist(), strict=True):
+            held.add(text, group, row)
             row += 1
-            if held >= HELD_CHUNKS:
-                yield counted()
-                groups.clear()
-                held = 0
-    yield counted()
+            if held.n_held >= HELD_COUNTS:
+                yield held.take()
+    yield held.take()
 
 
 def share_of(n: Column, total: Column, vocabulary: Column) -> Column:
@@ -138,26 +214,28 @@ def term_counts(files: DataFrame, min_files: int = MIN_FILES) -> tuple[DataFrame
     """Counts (mime, service_key, term, n) of kept terms, and all groups (mime, service_key) with total and vocabulary.
 
     A mime type keeps the terms in at least `min_files` of its rows. Which rows hold a chunk is
-    known up to `min_files` of them, which decides that exactly. Both tables are written.
+    known up to `min_files` of them, which decides that exactly. Mime types and groups go by 64 bits
+    of a digest until their names are joined back. Both tables are written.
     """
     plain = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("mime", "service_key", "tag_text")]
-    rows = files.select(*plain).mapInArrow(lambda b: _count_chunks(b, min_files), _COUNTED)
-    some = F.slice(F.array_distinct(F.flatten(F.collect_list("seen"))), 1, min_files)
-    chunks = cut_lineage(
-        rows.groupBy("mime", "service_key", "chunk").agg(F.sum("n").alias("n"), some.alias("seen")), "chunk-counts"
-    )
+    ids = [F.xxhash64("mime").alias("mime_id"), F.xxhash64("mime", "service_key").alias("group_id")]
+    rows = files.select(*plain).select(*ids, "tag_text").mapInArrow(lambda b: _count_chunks(b, min_files), _COUNTED)
+    chunks = cut_lineage(rows, "chunk-counts")
     terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
     tokenized = chunks.select("chunk").distinct().select("chunk", terms.alias("terms")).where(F.size("terms") > 0)
-    found = cut_lineage(
-        chunks.join(tokenized, "chunk").select("mime", "service_key", F.explode("terms").alias("term"), "n", "seen"), "term-counts"
-    )
-    holding = found.select("mime", "term", F.explode("seen").alias("row")).distinct().groupBy("mime", "term").count()
-    kept = holding.where(F.col("count") >= min_files).select("mime", "term")
-    counts = found.groupBy("mime", "service_key", "term").agg(F.sum("n").alias("n")).join(kept, ["mime", "term"])
-    counts = cut_lineage(counts, "kept-terms")
+    found = chunks.join(tokenized, "chunk").select("mime_id", F.explode("terms").alias("term"), "seen", "groups", "counts")
+    found = cut_lineage(found, "term-counts")
+    holding = found.select("mime_id", "term", F.explode("seen").alias("row")).distinct().groupBy("mime_id", "term").count()
+    kept = holding.where(F.col("count") >= min_files).select("mime_id", "term")
+    listed = found.select("mime_id", "term", F.explode(F.arrays_zip("groups", "counts")).alias("g"))
+    counts = listed.groupBy("mime_id", F.col("g.groups").alias("group_id"), "term").agg(F.sum("g.counts").alias("n"))
+    named = files.select(*plain[:2]).distinct().select("*", *ids)
+    named = cut_lineage(named, "named-groups")
+    counts = counts.join(kept, ["mime_id", "term"]).join(named.drop("mime_id"), "group_id")
+    counts = cut_lineage(counts.select("mime", "service_key", "term", "n"), "kept-terms")
     vocabulary = counts.groupBy("mime").agg(F.countDistinct("term").alias("vocabulary"))
     totals = counts.groupBy("mime", "service_key").agg(F.sum("n").alias("total"))
-    groups = chunks.select("mime", "service_key").distinct().join(totals, ["mime", "service_key"], "left").join(vocabulary, "mime", "left")
+    groups = named.drop("mime_id", "group_id").join(totals, ["mime", "service_key"], "left").join(vocabulary, "mime", "left")
     return counts, cut_lineage(groups.na.fill(0, ["total", "vocabulary"]), "groups")
 
 
