@@ -18,9 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagspark.session import cut_lineage
 
-# A term is a run of ASCII letters and all other characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_FILES = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
@@ -29,6 +26,8 @@ SORT_WORDS = 1 << 20
 HELD_COUNTS = 1 << 21
 
 _COUNTED = "chunk string, mime_id bigint, seen array<bigint>, groups array<bigint>, counts array<bigint>"
+_TERMS = "term string, mime_id bigint, seen array<bigint>, groups array<bigint>, counts array<bigint>"
+_KEPT = "term string, mime_id bigint, groups array<bigint>, counts array<bigint>"
 
 
 class _Numbers(dict):
@@ -86,10 +85,10 @@ class _ChunkCounts:
         doc, chunk = code >> 40, code & (1 << 40) - 1
         group, row = np.array(self.docs, np.int64)[doc].T
         mime = self._mimes()[group]
-        by = np.lexsort((row, mime, chunk))
+        by = np.argsort(chunk * len(self.groups) + mime, kind="stable")  # rows stay in order
         first = _ranks(_heads(chunk[by], mime[by]), len(by)) < self.min_files
         self.seen.append(np.stack([chunk[by], mime[by], row[by]])[:, first])
-        by = np.lexsort((group, chunk))
+        by = np.argsort(chunk * len(self.groups) + group)
         starts = _heads(chunk[by], group[by])
         self.counts.append(np.stack([chunk[by][starts], group[by][starts], np.add.reduceat(n[by], starts)]))
         self.n_held += self.counts[-1].shape[1]
@@ -101,14 +100,15 @@ class _ChunkCounts:
         empty = [np.zeros((3, 0), np.int64)]
         chunk, group, n = np.concatenate(empty + self.counts, axis=1)
         mime = self._mimes()[group]
-        by = np.lexsort((group, mime, chunk))
+        wide = max(1, len(self.groups))
+        by = np.argsort((chunk * wide + mime) * wide + group)
         chunk, mime, group, n = chunk[by], mime[by], group[by], n[by]
         starts = _heads(chunk, mime, group)
         n = np.add.reduceat(n, starts) if len(n) else n
         chunk, mime, group = chunk[starts], mime[starts], group[starts]
         rows = _heads(chunk, mime)
         held, of, row = np.concatenate(empty + self.seen, axis=1)
-        by = np.lexsort((row, of, held))
+        by = np.argsort(held * wide + of, kind="stable")
         held, of, row = held[by], of[by], row[by]
         starts = _heads(held, of)
         first = _ranks(starts, len(by)) < self.min_files
@@ -141,6 +141,87 @@ def _count_chunks(batches: Iterator[pa.RecordBatch], min_files: int) -> Iterator
     yield held.take()
 
 
+def _merge(rows: pa.Table, key: str, min_files: int) -> pa.Table:
+    """Rows sorted by a key and mime type, one for each of both: sums by group, and the first rows seen."""
+    name, mime = rows.column(key).combine_chunks(), rows.column("mime_id").to_numpy()
+    starts = _heads(name.dictionary_encode().indices.to_numpy(), mime)
+    place = np.cumsum(np.isin(np.arange(len(mime)), starts)) - 1
+
+    def flat(column: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = rows.column(column).combine_chunks()
+        return np.repeat(place, lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+
+    def lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(at, minlength=len(starts)))), pa.int32()), pa.array(values))
+
+    at, group = flat("groups")
+    n = flat("counts")[1]
+    by = np.lexsort((group, at))
+    heads = _heads(at[by], group[by])
+    sums = np.add.reduceat(n[by], heads) if len(by) else n
+    seen_at, seen = flat("seen")
+    order = np.lexsort((seen, seen_at))
+    seen_at, seen = seen_at[order], seen[order]
+    once = _heads(seen_at, seen)
+    seen_at, seen = seen_at[once], seen[once]
+    first = _ranks(_heads(seen_at), len(seen)) < min_files if len(seen) else np.zeros(0, bool)
+    return pa.table(
+        {
+            key: name.take(pa.array(starts)),
+            "mime_id": pa.array(mime[starts]),
+            "seen": lists(seen_at[first], seen[first]),
+            "groups": lists(at[by][heads], group[by][heads]),
+            "counts": lists(at[by][heads], sums),
+        }
+    )
+
+
+def _merged(batches: Iterator[pa.RecordBatch], key: str, min_files: int) -> Iterator[pa.Table]:
+    """Merged rows of a sorted partition; only the last key is held from batch to batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch]).select([key, "mime_id", "seen", "groups", "counts"])
+        merged = _merge(new if held is None else pa.concat_tables([held, new.cast(held.schema)]), key, min_files)
+        if merged.num_rows > 1:
+            yield merged.slice(0, merged.num_rows - 1)
+        held = merged.slice(merged.num_rows - 1)
+    if held is not None:
+        yield held
+
+
+# Bytes that are no part of a term become spaces, A-Z become small.
+_TERM_BYTES = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def terms_of(chunk: bytes) -> list[bytes]:
+    """Runs of ASCII letters, in small letters, and all characters beyond ASCII."""
+    return chunk.translate(_TERM_BYTES).split()
+
+
+def _tokenize(batches: Iterator[pa.RecordBatch], min_files: int) -> Iterator[pa.RecordBatch]:
+    """Each distinct chunk of a partition sorted by chunk is cut once; its terms join its merged counts."""
+    last: tuple[bytes, list[bytes]] = (b"", [])
+    for rows in _merged(batches, "chunk", min_files):
+        codes = rows.column("chunk").combine_chunks().cast(pa.binary()).dictionary_encode()
+        distinct = codes.dictionary.to_pylist()
+        found = [last[1] if chunk == last[0] else terms_of(chunk) for chunk in distinct]
+        last = distinct[-1], found[-1]
+        sizes = np.array([len(f) for f in found])[codes.indices.to_numpy()]
+        index = pa.array(np.repeat(np.arange(rows.num_rows), sizes))
+        terms = pa.array([t for code in codes.indices.to_pylist() for t in found[code]], pa.binary()).cast(pa.string())
+        columns = [terms, *[rows.column(c).take(index).combine_chunks() for c in ("mime_id", "seen", "groups", "counts")]]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "mime_id", "seen", "groups", "counts"])
+
+
+def _keep(batches: Iterator[pa.RecordBatch], min_files: int) -> Iterator[pa.RecordBatch]:
+    """Terms that enough rows hold."""
+    for rows in _merged(batches, "term", min_files):
+        kept = rows.filter(pc.greater_equal(pc.list_value_length(rows.column("seen")), min_files))
+        yield from kept.select(["term", "mime_id", "groups", "counts"]).combine_chunks().to_batches()
+
+
 def share_of(n: Column, total: Column, vocabulary: Column) -> Column:
     """Share of a term in parts of SCALE, with one occurrence added to each term; exact."""
     scaled = F.lit(SCALE).cast("decimal(19,0)") * (n + 1).cast("decimal(19,0)")
@@ -220,19 +301,16 @@ def term_counts(files: DataFrame, min_files: int = MIN_FILES) -> tuple[DataFrame
     plain = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("mime", "service_key", "tag_text")]
     ids = [F.xxhash64("mime").alias("mime_id"), F.xxhash64("mime", "service_key").alias("group_id")]
     rows = files.select(*plain).select(*ids, "tag_text").mapInArrow(lambda b: _count_chunks(b, min_files), _COUNTED)
-    chunks = cut_lineage(rows, "chunk-counts")
-    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    tokenized = chunks.select("chunk").distinct().select("chunk", terms.alias("terms")).where(F.size("terms") > 0)
-    found = chunks.join(tokenized, "chunk").select("mime_id", F.explode("terms").alias("term"), "seen", "groups", "counts")
-    found = cut_lineage(found, "term-counts")
-    holding = found.select("mime_id", "term", F.explode("seen").alias("row")).distinct().groupBy("mime_id", "term").count()
-    kept = holding.where(F.col("count") >= min_files).select("mime_id", "term")
-    listed = found.select("mime_id", "term", F.explode(F.arrays_zip("groups", "counts")).alias("g"))
-    counts = listed.groupBy("mime_id", F.col("g.groups").alias("group_id"), "term").agg(F.sum("g.counts").alias("n"))
+    chunks = rows.repartition("chunk").sortWithinPartitions("chunk", "mime_id")
+    found = chunks.mapInArrow(lambda b: _tokenize(b, min_files), _TERMS)
+    dealt = found.repartition("mime_id", "term").sortWithinPartitions("term", "mime_id")
+    kept = cut_lineage(dealt.mapInArrow(lambda b: _keep(b, min_files), _KEPT), "kept-terms")
+    counts = kept.select("mime_id", "term", F.explode(F.arrays_zip("groups", "counts")).alias("g"))
+    counts = counts.select("mime_id", "term", F.col("g.groups").alias("group_id"), F.col("g.counts").alias("n"))
     named = files.select(*plain[:2]).distinct().select("*", *ids)
     named = cut_lineage(named, "named-groups")
-    counts = counts.join(kept, ["mime_id", "term"]).join(named.drop("mime_id"), "group_id")
-    counts = cut_lineage(counts.select("mime", "service_key", "term", "n"), "kept-terms")
+    counts = counts.drop("mime_id").join(named.drop("mime_id"), "group_id")
+    counts = cut_lineage(counts.select("mime", "service_key", "term", "n"), "term-counts")
     vocabulary = counts.groupBy("mime").agg(F.countDistinct("term").alias("vocabulary"))
     totals = counts.groupBy("mime", "service_key").agg(F.sum("n").alias("total"))
     groups = named.drop("mime_id", "group_id").join(totals, ["mime", "service_key"], "left").join(vocabulary, "mime", "left")
