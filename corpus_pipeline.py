@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tagspark.llm import block_names, fair_mix, packing, rule_ledger, simhash
 from tagspark.llm.queries import VOCABULARY, as_documents, as_files, table
@@ -19,13 +20,25 @@ ORACLE_SQL = None
 ROW = "_pipeline_row"
 
 
-def _decided(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of `docs` with what an operator says of them; it hands their number through.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own that stays whatever way their files are split.
 
-    Numbers follow the splits of a scan, which may change from one to the next; they are written once.
+    A file's name and a row's place in it make the number, so nothing is written for it; rows that
+    are not read from files are numbered once and written. Two rows may share a number by chance,
+    so rows are found again by their number and doc_id.
     """
-    numbered = cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    return numbered.join(decide(as_files(numbered, ROW)), ROW)
+    try:
+        return docs.withColumn(ROW, F.xxhash64("_metadata.file_name", "_metadata.row_index"))
+    except AnalysisException:
+        return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _decided(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of `docs` with what an operator says of them; it hands their number and file_id through."""
+    numbered = _numbered(docs)
+    decided = decide(as_files(numbered, ROW)).withColumnsRenamed({"file_id": "_decided_id", ROW: "_decided_row"})
+    same = (F.col(ROW) == F.col("_decided_row")) & F.col("doc_id").eqNullSafe(F.col("_decided_id"))
+    return numbered.join(decided, same).drop("_decided_row", "_decided_id")
 
 
 def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,19 +53,19 @@ def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    found = _decided(docs, lambda files: block_names.duplicate_files(files, key=ROW).where("kept").select(ROW))
+    found = _decided(docs, lambda files: block_names.duplicate_files(files, key=ROW).where("kept").select(ROW, "file_id"))
     return found.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document that names it stays."""
-    found = _decided(docs, lambda files: simhash.near_duplicates(files, key=ROW).where("kept").select(ROW))
+    found = _decided(docs, lambda files: simhash.near_duplicates(files, key=ROW).where("kept").select(ROW, "file_id"))
     return found.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix holds it."""
-    mixed = _decided(docs, lambda files: fair_mix.fair_mix(files, key=ROW).where("times > 0").select(ROW, "times"))
+    mixed = _decided(docs, lambda files: fair_mix.fair_mix(files, key=ROW).where("times > 0").select(ROW, "file_id", "times"))
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
