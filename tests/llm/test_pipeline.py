@@ -101,7 +101,7 @@ def test_rows_are_found_again_when_files_are_split_otherwise(spark):
     before = spark.conf.get(setting)
 
     def decide(files):
-        decided = cut_lineage(files.select(C.ROW, F.col("file_id").alias("decided")), "decided")
+        decided = cut_lineage(files.select(C.ROW, "file_id", F.col("file_id").alias("decided")), "decided")
         spark.conf.set(setting, "10000")
         return decided
 
