@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.functions.text import normalize_tag
 from tagspark.operators.diff import filter_new_tags
-from tagspark.streaming.tables import BATCH, near, write_batches, written
+from tagspark.streaming.keytable import BUCKETS, FANOUT, BucketTable, KeyLog, touched
+from tagspark.streaming.tables import BATCH, write_batches, written
 
 
 def _known(stored: DataFrame, path: str, before: int | None, service_key: str) -> DataFrame:
@@ -26,14 +27,22 @@ def stream_apply(
     path: str,
     checkpoint: str,
     hold: Column | None = None,
+    buckets: int = BUCKETS,
+    fanout: int = FANOUT,
 ) -> None:
     """Write (file_id, pos, tag, tag_norm) of tags that are new, one folder per micro-batch.
 
     Each micro-batch is compared with the stored tags and with what earlier ones wrote. Its size
     (the apply stride) is set on the source. Rows for which `hold` is true are kept aside under
     `<path>_held` until `flush_held`.
-    """
 
+    Stored tags are read once, when the stream starts, into `<path>_stored` by buckets of their
+    file; what batches write is added to `<path>_keys`. A batch reads the buckets of its files only.
+    """
+    spark = stored.sparkSession
+    mine = stored.where(F.col("service_key").eqNullSafe(F.lit(service_key)))
+    base = BucketTable(mine.select("file_id", "service_key", "tag_norm"), f"{path}_stored", buckets)
+    log = KeyLog(spark, f"{path}_keys", buckets, fanout)
     held_rows = F.lit(False) if hold is None else F.coalesce(hold, F.lit(False))
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
@@ -43,9 +52,13 @@ def stream_apply(
                 held = batch.where(held_rows)
                 held.write.mode("overwrite").parquet(f"{path}_held/{BATCH}={batch_id}")
             rows = batch.where(~held_rows)
-            known = _known(stored, path, batch_id, service_key)
-            fresh = filter_new_tags(rows, *near(rows, known), service_key)
-            fresh.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+            log.compact(batch_id)
+            numbers = touched(rows, buckets)
+            known = base.rows(numbers).unionByName(log.known(batch_id, numbers))
+            out = f"{path}/{BATCH}={batch_id}"
+            filter_new_tags(rows, known, service_key).write.mode("overwrite").parquet(out)
+            fresh = spark.read.schema("file_id bigint, tag_norm string").parquet(out)
+            log.add(fresh.withColumn("service_key", F.lit(service_key)), batch_id)
         finally:
             batch.unpersist()
 

@@ -10,7 +10,8 @@ from tagspark.functions.loglines import digest_counters, log_fields
 from tagspark.operators.metrics import batch_summary
 from tagspark.operators.planning import SkipRules, skip_decisions
 from tagspark.operators.snapshot import session_snapshot
-from tagspark.streaming.tables import near, write_batches
+from tagspark.streaming.keytable import BUCKETS, BucketTable, touched
+from tagspark.streaming.tables import write_batches
 
 
 def stream_progress(results: DataFrame, group: Sequence[str] = ("session_id",)) -> DataFrame:
@@ -43,11 +44,25 @@ def stream_log_digest(
 
 
 def run_skip_plan(
-    arriving: DataFrame, files: DataFrame, file_tags: DataFrame, rules: SkipRules, path: str, checkpoint: str
+    arriving: DataFrame,
+    files: DataFrame,
+    file_tags: DataFrame,
+    rules: SkipRules,
+    path: str,
+    checkpoint: str,
+    buckets: int = BUCKETS,
 ) -> None:
-    """Skip decisions for files (pos, file_id) as they arrive, against stored tables."""
+    """Skip decisions for files (pos, file_id) as they arrive, against stored tables.
+
+    The stored tables are written once, when the stream starts, in buckets of `file_id` below
+    `<path>_stored`; a micro-batch reads the buckets of its files only, however their ids lie.
+    """
+    tables = [
+        BucketTable(table, f"{path}_stored/{name}", buckets) for name, table in (("files", files), ("file_tags", file_tags))
+    ]
 
     def decide(batch: DataFrame, _: int) -> DataFrame:
-        return skip_decisions(batch, *near(batch, files, file_tags), rules)
+        numbers = touched(batch, buckets)
+        return skip_decisions(batch, *[table.rows(numbers) for table in tables], rules)
 
     write_batches(arriving, path, checkpoint, decide)

@@ -71,11 +71,3 @@ def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     newest = F.max_by(F.struct(*others), BATCH).alias("_row")
     return rows.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
-
-def near(batch: DataFrame, *tables: DataFrame) -> list[DataFrame]:
-    """Rows of stored tables in the id range of a micro-batch: one pair of numbers is looked up.
-
-    A table sorted by `file_id` is then read only where the batch lies.
-    """
-    low, high = batch.agg(F.min("file_id"), F.max("file_id")).first()
-    return [table.where(F.col("file_id").between(low, high)) for table in tables]
