@@ -25,6 +25,8 @@ GENERAL_PREFIX = ""
 CHARACTER_PREFIX = "character:"
 RATING_PREFIX = "rating:"
 SCORE_BATCH = 8
+# Files fetched at once.
+FETCH_PARALLEL = 8
 APPLY_EVERY = 8
 SKIP_TAIL_BATCH = 512
 LEARNING_FRACTION = 0.1

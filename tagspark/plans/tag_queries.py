@@ -365,6 +365,63 @@ def score_pending(lib: Library) -> DataFrame:
     )
 
 
+def _stand_in_library():
+    """Fetches a file's id as its bytes; some files have no media, some cannot be reached."""
+
+    def fetch(file_id: int, kind: str) -> bytes | None:
+        if file_id % 11 == 0:
+            raise OSError(f"no answer for {file_id}")
+        if file_id % 7 == 0 and (kind == "full" or file_id % 5 == 0):
+            return None
+        return f"{kind}:{file_id}".encode()
+
+    return fetch
+
+
+def _stand_in_classifier():
+    """Scores by id; some files break it."""
+
+    def predict(contents: list[bytes]) -> list[list[float]]:
+        ids = [int(content.split(b":")[1]) for content in contents]
+        if any(i % 13 == 0 for i in ids):
+            raise ValueError("cannot score")
+        return [[(i % 16) / 16.0, float(content.startswith(b"full"))] for i, content in zip(ids, contents, strict=True)]
+
+    return predict
+
+
+# Ids are told by their remainders: by 11 no answer, by 7 no whole file, by 35 none at all, by 13 no scores.
+_STAGES = """CASE WHEN d.file_id % 11 = 0 THEN 'fetch' WHEN d.file_id % 35 = 0 THEN 'media' WHEN d.file_id % 13 = 0 THEN 'predict' END"""
+
+
+@query(
+    "decisions",
+    "files",
+    sql=f"""SELECT DISTINCT d.file_id, CAST(d.file_id % 16 AS DOUBLE) / CAST(16 AS DOUBLE) AS score,
+    lower(trim(coalesce(f.mime, ''))) NOT LIKE 'video/%' AND d.file_id % 7 <> 0 AS is_full
+    FROM decisions d JOIN files f ON d.file_id = f.file_id WHERE skip_reason IS NULL AND {_STAGES} IS NULL""",
+)
+def fetched_scores(lib: Library) -> DataFrame:
+    wanted = scoring.wanted_media(decided(lib), lib.files)
+    found = scoring.fetch_and_score(wanted, _stand_in_library, _stand_in_classifier, batch_size=32, alone=True)
+    probs = F.col("probs")
+    return found.where("stage IS NULL").select("file_id", probs[0].cast("double").alias("score"), (probs[1] > 0).alias("is_full"))
+
+
+@query(
+    "decisions",
+    "files",
+    sql=f"""SELECT DISTINCT d.file_id, {_STAGES} AS stage, CASE {_STAGES} WHEN 'fetch' THEN 'OSError: no answer for ' || CAST(d.file_id AS VARCHAR)
+    WHEN 'media' THEN 'no readable file or thumbnail' ELSE 'ValueError: cannot score' END AS error
+    FROM decisions d JOIN files f ON d.file_id = f.file_id WHERE skip_reason IS NULL AND {_STAGES} IS NOT NULL""",
+)
+def score_rejects(lib: Library) -> DataFrame:
+    _, rejects = scoring.score_pending_media(
+        lib.queue, lib.files, lib.file_tags, lib.tag_labels, _stand_in_library, _stand_in_classifier, RULES, batch_size=32, alone=True
+    )
+    return rejects
+
+
 @query(
     "diffed",
     "files",
