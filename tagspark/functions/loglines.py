@@ -52,73 +52,55 @@ DIGEST_WORDS = {
     "hub_fetch_false": "hub_fetch_this_call=False",
 }
 
-# Values of fields: whole numbers, numbers, words.
-WHOLE, NUMBER, WORD = r"(\d+)", r"([\d.]+)", r"(\S+)"
-
-
-def _kind(lead: str, between: str, *fields: tuple[str, str, str]) -> tuple:
-    """Shape of a line kind from its fields in order: key, value, and the columns as name:type."""
-    pattern = lead + between.join(f"{key}={value}" for key, value, _ in fields)
-    columns = [tuple(column.split(":")) for *_, names in fields for column in names.split()]
-    return pattern, tuple(columns)
-
-
-# one record per line kind
-PREFETCH = _kind(
-    "metadata_prefetch ",
-    ".*",
-    ("wall_s", NUMBER, "prefetch_s:decimal(18,3)"),
-    ("rows", WHOLE, "prefetch_rows:bigint"),
-    ("file_ids", WHOLE, "prefetch_ids:bigint"),
-)
-QUEUE = _kind(
-    "queue_analysis ",
-    " ",
-    ("infer", WHOLE, "infer:bigint"),
-    ("skip_same_marker", WHOLE, "skip_same:bigint"),
-    ("skip_higher_tier", WHOLE, "skip_higher:bigint"),
-    ("missing_metadata", WHOLE, "missing:bigint"),
-)
-SESSION_METRICS = _kind(
-    "",
-    ".*",
-    ("onnx_skipped_same_marker", WHOLE, "skipped_same:bigint"),
-    ("onnx_skipped_higher_tier_marker", WHOLE, "skipped_higher:bigint"),
-    ("files_processed", WHOLE, "files_processed:bigint"),
-    ("tags_new_strings_applied", WHOLE, "tags_applied:bigint"),
-)
-RATES = _kind(
-    "",
-    " ",
-    ("wall_s", NUMBER, "rates_wall_s:decimal(18,3)"),
-    ("inferred_non_skip", WHOLE, "inferred:bigint"),
-    ("inferred_non_skip_per_s", NUMBER, "inferred_per_s:decimal(18,4)"),
-    ("tags_new_strings_per_s", NUMBER, "tags_per_s:decimal(18,4)"),
-    ("outer_batches", WHOLE, "rates_batches:bigint"),
-)
-PERF = _kind(
-    f"{PERF_MARK} ",
-    " ",
-    ("wall_s", NUMBER, "wall_s:decimal(18,3)"),
-    ("model_prepare_s", NUMBER, "model_prepare_s:decimal(18,3)"),
-    ("processed", WHOLE, "processed:bigint"),
-    ("outer_batches", WHOLE, "batches:bigint"),
-    ("hydrus_files", WHOLE, "written_files:bigint"),
-    ("tag_strings", WHOLE, "tag_strings:bigint"),
-    ("outcome", f"{WORD}/{WORD}", "outcome:string status:string"),
-    ("model", WORD, "model:string"),
-)
+# Names of fields, in the kinds of lines that have all of them: column -> key, type, and the part
+# of a value that a slash divides.
+PREFETCH = {
+    "prefetch_s": ("wall_s", "decimal(18,3)", 0),
+    "prefetch_rows": ("rows", "bigint", 0),
+    "prefetch_ids": ("file_ids", "bigint", 0),
+}
+QUEUE = {
+    "infer": ("infer", "bigint", 0),
+    "skip_same": ("skip_same_marker", "bigint", 0),
+    "skip_higher": ("skip_higher_tier", "bigint", 0),
+    "missing": ("missing_metadata", "bigint", 0),
+}
+SESSION_METRICS = {
+    "skipped_same": ("onnx_skipped_same_marker", "bigint", 0),
+    "skipped_higher": ("onnx_skipped_higher_tier_marker", "bigint", 0),
+    "files_processed": ("files_processed", "bigint", 0),
+    "tags_applied": ("tags_new_strings_applied", "bigint", 0),
+}
+RATES = {
+    "rates_wall_s": ("wall_s", "decimal(18,3)", 0),
+    "inferred": ("inferred_non_skip", "bigint", 0),
+    "inferred_per_s": ("inferred_non_skip_per_s", "decimal(18,4)", 0),
+    "tags_per_s": ("tags_new_strings_per_s", "decimal(18,4)", 0),
+    "rates_batches": ("outer_batches", "bigint", 0),
+}
+PERF = {
+    "wall_s": ("wall_s", "decimal(18,3)", 0),
+    "model_prepare_s": ("model_prepare_s", "decimal(18,3)", 0),
+    "processed": ("processed", "bigint", 0),
+    "batches": ("outer_batches", "bigint", 0),
+    "written_files": ("hydrus_files", "bigint", 0),
+    "tag_strings": ("tag_strings", "bigint", 0),
+    "outcome": ("outcome", "string", 1),
+    "status": ("outcome", "string", 2),
+    "model": ("model", "string", 0),
+}
 CONFIG_FIELDS = {
-    "config_batch": r"config_inference_batch_saved=(\d+)",
-    "config_apply_every": r"apply_tags_every_n_effective=(\d+)",
-    "config_intra": r"ort_cpu_threads_intra_inter=(\d+)/\d+",
-    "config_inter": r"ort_cpu_threads_intra_inter=\d+/(\d+)",
+    "config_batch": ("config_inference_batch_saved", "bigint", 0),
+    "config_apply_every": ("apply_tags_every_n_effective", "bigint", 0),
+    "config_intra": ("ort_cpu_threads_intra_inter", "bigint", 1),
+    "config_inter": ("ort_cpu_threads_intra_inter", "bigint", 2),
 }
+# Scoring lines may lack any of theirs.
 SCORING_FIELDS = {
-    "predict_s": (r"wall_onnx_predict_s=([\d.]+)", "decimal(18,6)"),
-    "fetch_s": (r"wall_hydrus_fetch_s=([\d.]+)", "decimal(18,6)"),
-    "skipped_files": (r"skipped_pre_infer_marker_files=(\d+)", "bigint"),
-    "inferred_files": (r"inferred_files=(\d+)", "bigint"),
+    "predict_s": ("wall_onnx_predict_s", "decimal(18,6)", 0),
+    "fetch_s": ("wall_hydrus_fetch_s", "decimal(18,6)", 0),
+    "skipped_files": ("skipped_pre_infer_marker_files", "bigint", 0),
+    "inferred_files": ("inferred_files", "bigint", 0),
 }
 STATS_PAIR = r"""(\w+)=('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\S*)"""
 
@@ -142,33 +124,48 @@ def log_fields(line: Column | str) -> Column:
     )
 
 
-def record(line: Column | str, shape: tuple) -> Column:
-    """One struct per line kind; the whole struct is null when the line does not match."""
-    pattern, fields = shape
-    text = _col(line)
-    values = [
-        _group(text, pattern, i).try_cast(kind).alias(name)
-        for i, (name, kind) in enumerate(fields, start=1)
-    ]
-    return F.when(F.rlike(text, F.lit(pattern)), F.struct(*values))
+def read_fields(line: Column | str, fields: Mapping[str, tuple[str, str, int]]) -> Column:
+    """struct of typed values of `key=value` words of a line; null where a key is not there or its value has another type.
+
+    The line is cut into words once and each key is looked up among them; the first of equal keys
+    counts. Commas and semicolons after a value do not belong to it.
+    """
+
+    def value(words: Column, keys: Column, key: str, kind: str, part: int) -> Column:
+        word = F.get(words, (F.array_position(keys, F.lit(key)) - 1).cast("int"))
+        text = F.rtrim(F.substring(word, len(key) + 2, 2_147_483_647), F.lit(",;"))
+        if part:
+            text = F.split_part(text, F.lit("/"), F.lit(part))
+        return F.nullif(text, F.lit("")).try_cast(kind)
+
+    def struct(words: Column, keys: Column) -> Column:
+        return F.struct(*[value(words, keys, *field).alias(name) for name, field in fields.items()])
+
+    # One-element arrays, so that words and keys are computed once and not for every field.
+    def named(words: Column) -> Column:
+        keys = F.transform(words, lambda word: F.substring_index(word, "=", 1))
+        return F.transform(F.array(keys), lambda found: struct(words, found))[0]
+
+    return F.transform(F.array(F.split(_col(line), " ")), named)[0]
+
+
+def record(line: Column | str, fields: Mapping[str, tuple[str, str, int]]) -> Column:
+    """One struct per line kind; null unless the line has all fields of its kind."""
+    found = read_fields(line, fields)
+    whole = F.lit(True)
+    for name in fields:
+        whole = whole & found[name].isNotNull()
+    return F.when(whole, found)
 
 
 def config_record(line: Column | str) -> Column:
     """struct of the four saved settings, or null when one of them is missing."""
-    text = _col(line)
-    values = {k: _group(text, p, 1).try_cast("bigint") for k, p in CONFIG_FIELDS.items()}
-    complete = F.lit(True)
-    for value in values.values():
-        complete = complete & value.isNotNull()
-    return F.when(complete, F.struct(*[v.alias(k) for k, v in values.items()]))
+    return record(line, CONFIG_FIELDS)
 
 
 def metrics_record(line: Column | str) -> Column:
     """Scoring metrics of one line; a missing field is null."""
-    text = _col(line)
-    return F.struct(
-        *[_group(text, p, 1).try_cast(kind).alias(k) for k, (p, kind) in SCORING_FIELDS.items()]
-    )
+    return read_fields(line, SCORING_FIELDS)
 
 
 def digest_counters(line: Column | str) -> dict[str, Column]:

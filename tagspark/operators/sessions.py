@@ -81,10 +81,11 @@ def _marked_lines(lines: DataFrame) -> DataFrame:
     for name in flags:
         if name != "is_scoring":
             only_scoring = only_scoring & ~F.col(name)
-    record = L.metrics_record(F.when(F.col("is_scoring"), F.col("line")))
+    # A column of its own, so that a line is read once for all its numbers.
+    useful = useful.withColumn("_numbers", L.metrics_record(F.when(F.col("is_scoring"), F.col("line"))))
     numbers = [
-        F.coalesce(record[name], F.lit(0).cast(kind)).alias(f"sum_{name}")
-        for name, (_, kind) in L.SCORING_FIELDS.items()
+        F.coalesce(F.col(f"_numbers.{name}"), F.lit(0).cast(kind)).alias(f"sum_{name}")
+        for name, (_, kind, _) in L.SCORING_FIELDS.items()
     ]
     return useful.select(
         "run_id", "line_no", F.when(~only_scoring, F.col("line")).alias("line"), *flags, *numbers
@@ -168,11 +169,11 @@ def _session_fields(totals: list[str]) -> list[Column]:
             return F.round(F.coalesce(value, F.lit(0)), 3).cast("double").alias(name)
         return F.coalesce(value, F.lit(0)).cast("bigint").alias(name)
 
-    def fields(text: Column, shape: tuple) -> list[Column]:
+    def fields(text: Column, shape: dict) -> list[Column]:
         rec = L.record(text, shape)
-        kinds = dict(shape[1])
         return [
-            rec[n].cast("double").alias(n) if kinds[n].startswith("decimal") else rec[n].alias(n) for n in kinds
+            rec[n].cast("double").alias(n) if kind.startswith("decimal") else rec[n].alias(n)
+            for n, (_, kind, _) in shape.items()
         ]
 
     start = L.record("_start_text", L.PREFETCH)

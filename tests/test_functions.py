@@ -170,6 +170,18 @@ def test_metrics_record_leaves_missing_fields_null(one):
     assert (float(r["predict_s"]), r["fetch_s"], r["skipped_files"], r["inferred_files"]) == (1.25, None, None, 3)
 
 
+def test_fields_are_read_by_name_whatever_their_order(one):
+    line = "x model=m/1 outcome=ok/complete tag_strings=4; hydrus_files=3, outer_batches=2 processed=9 model_prepare_s=0.5 wall_s=1.25 wall_s=9"
+    r = one(L.record("l", L.PERF), l=line)
+    assert (float(r["wall_s"]), r["processed"], r["written_files"], r["tag_strings"], r["outcome"], r["status"], r["model"]) == (
+        1.25, 9, 3, 4, "ok", "complete", "m/1",
+    )
+    for broken in (line.replace("processed=9", "processed=nine"), line.replace("ok/complete", "ok"), line.replace("model=m/1", "model="), "", None):
+        assert one(L.record("l", L.PERF), l=broken) is None
+    assert one(L.config_record("l"), l="ort_cpu_threads_intra_inter=6/2 config_inference_batch_saved=8") is None
+    assert one(L.read_fields("l", L.QUEUE), l="infer skip_same_marker= missing_metadata==5 skip_higher_tier=7")["skip_higher"] == 7
+
+
 def test_stats_line_round_trip(spark):
     df = spark.createDataFrame(
         [("a b", True, 1.5, float("nan"), None, "it's", 'q"', "p\n=")],
