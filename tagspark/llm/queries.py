@@ -148,23 +148,41 @@ def op4_mix_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     return as_documents(fair_mix.fair_mix(files(spark, folder)))
 
 
-def session_turns(conversations: DataFrame) -> DataFrame:
-    """Conversations as sessions."""
-    return conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", "text")
+def preference_sessions(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions in pairs that share turns, and the pairs.
 
-
-def session_pairs(conversations: DataFrame) -> DataFrame:
-    """A conversation with an even id is preferred to the one with the next id."""
-    pair_id = F.floor(F.col("conv_id") / 2).cast("bigint")
-    return conversations.select(pair_id.alias("pair_id")).distinct().select(
-        "pair_id", (F.col("pair_id") * 2).alias("chosen_session"), (F.col("pair_id") * 2 + 1).alias("rejected_session")
+    Of each conversation with an answer, its turns up to the last answer are chosen; rejected is the
+    same with the last answer of the next conversation (else of the one before, else an empty one).
+    """
+    known = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    answers = known.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("a"))
+    answers = cut_lineage(answers.select("conv_id", F.col("a.turn").alias("last"), F.col("a.text").alias("answer")), "answers")
+    near = answers.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("next"))
+    before = answers.select((F.col("conv_id") + 1).alias("conv_id"), F.col("answer").alias("before"))
+    given = answers.join(near, "conv_id", "left").join(before, "conv_id", "left")
+    other = given.select("conv_id", F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("next", "before", F.lit("")).alias("text"))
+    turns = known.join(answers.select("conv_id", "last"), "conv_id").where("turn <= last")
+    columns = ["conv_id", "turn", "role", "text"]
+    sides = turns.select((F.col("conv_id") * 2).alias("session_id"), *columns[1:]).unionByName(
+        turns.where("turn < last").select(*columns).unionByName(other).select((F.col("conv_id") * 2 + 1).alias("session_id"), *columns[1:])
     )
+    pair = F.col("conv_id").alias("pair_id")
+    pairs = answers.select(pair, (F.col("conv_id") * 2).alias("chosen_session"), (F.col("conv_id") * 2 + 1).alias("rejected_session"))
+    return sides.withColumnRenamed("turn", "seq"), pairs
 
 
 @query(
     r"""
-WITH turns AS (
-  SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, turn AS seq, role, text FROM conversations),
+WITH known AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+answers AS (
+  SELECT conv_id, turn AS last, text AS answer FROM known WHERE role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC NULLS LAST) = 1),
+shared AS (SELECT k.*, last FROM known k JOIN answers a ON a.conv_id = k.conv_id WHERE turn <= last),
+turns AS (
+  SELECT DISTINCT conv_id AS pair_id, TRUE AS chosen, turn AS seq, role, text FROM shared
+  UNION SELECT conv_id, FALSE, turn, role, text FROM shared WHERE turn < last
+  UNION SELECT a.conv_id, FALSE, a.last, 'assistant', coalesce(n.answer, b.answer, '')
+  FROM answers a LEFT JOIN answers n ON n.conv_id = a.conv_id + 1 LEFT JOIN answers b ON b.conv_id = a.conv_id - 1),
 sides AS (
   SELECT pair_id, seq, list(role || chr(0) || text ORDER BY role, text) FILTER (WHERE chosen) AS c,
     list(role || chr(0) || text ORDER BY role, text) FILTER (WHERE NOT chosen) AS r FROM turns GROUP BY pair_id, seq),
@@ -185,8 +203,7 @@ FROM along
 """
 )
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    conversations = table(spark, folder, "conversations")
-    return preferences.preference_segments(session_turns(conversations), session_pairs(conversations))
+    return preferences.preference_segments(*preference_sessions(table(spark, folder, "conversations")))
 
 
 @query()
