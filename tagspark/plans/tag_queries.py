@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagspark.defaults import RATING
 from tagspark.functions import taglists, text
-from tagspark.operators import browse, diff, planning, scores, scoring
+from tagspark.operators import browse, diff, metrics, planning, scores, scoring
 from tagspark.plans.library import Library
 from tagspark.plans.queue_queries import RULES, SERVICE, decided
 from tagspark.plans.registry import norm, part, query
 from tagspark.sources.actions import action_body
-from tagspark.sources.labels import check_labels
+from tagspark.session import fresh_path
+from tagspark.sources.labels import check_labels, read_labels, read_manifests, verify_artifacts
 
 CHARACTER_CUT = 0.5
 
@@ -439,3 +440,57 @@ def applicable_results(lib: Library) -> DataFrame:
 @query("tag_labels", sql="SELECT 'csv_too_few_rows:' || CAST(count(*) AS STRING) AS issue FROM tag_labels HAVING count(*) < 100")
 def check_label_table(lib: Library) -> DataFrame:
     return check_labels(lib.tag_labels)
+
+
+@query(
+    "tag_labels",
+    sql="SELECT CAST(row_number() OVER (ORDER BY label_idx) - 1 AS INT) AS label_idx, tag_id, name, category, CAST(count AS INT) AS count FROM tag_labels",
+)
+def labels_from_csv(lib: Library) -> DataFrame:
+    """The vocabulary written as a label file, which is one file by definition, and read again."""
+    path = fresh_path(lib.spark, "label-file")
+    ordered = lib.tag_labels.coalesce(1).sortWithinPartitions("label_idx").drop("label_idx")
+    ordered.write.option("header", True).option("escape", '"').csv(path)
+    return read_labels(lib.spark, path)
+
+
+# An order stands for a model in the store; its price and key give sizes, revisions and gaps.
+_STORE = "SELECT o_orderkey AS k, 'm' || CAST(o_orderkey AS STRING) AS model, CAST(floor(o_totalprice * 20) AS BIGINT) AS onnx FROM {orders}"
+part(
+    "artifact_checks",
+    """SELECT model, issues, unknown, k % 13 <> 0 AND k % 3 <> 0 AS manifest_present, CASE WHEN NOT unknown THEN local END AS local_revision,
+    CASE WHEN NOT unknown AND NOT absent THEN remote END AS remote_revision, issues = '' OR issues IN ('newer_revision_on_hub', 'manifest_missing_revision_cannot_compare_hub') AS ok
+    FROM (SELECT *, CASE WHEN unknown THEN 'unknown_model' WHEN absent THEN 'missing_required_files' ELSE concat_ws('|',
+      CASE WHEN onnx < 1000000 THEN 'onnx_too_small:' || CAST(onnx AS STRING) END, CASE WHEN k % 2000 < 800 THEN 'csv_too_small:' || CAST(k % 2000 AS STRING) END,
+      CASE WHEN k % 3 <> 0 AND k % 4 = 0 THEN 'size_mismatch_vs_manifest:model.onnx' END,
+      CASE WHEN remote <> local THEN 'newer_revision_on_hub' END,
+      CASE WHEN remote IS NOT NULL AND local IS NULL THEN 'manifest_missing_revision_cannot_compare_hub' END) END AS issues
+    FROM (SELECT *, k % 13 = 0 AS unknown, k % 10 = 1 AS absent, CASE WHEN k % 3 <> 0 AND k % 5 <> 0 THEN 'r' || CAST(k % 7 AS STRING) END AS local,
+      CASE WHEN k % 2 = 0 THEN 'r' || CAST(k % 6 AS STRING) END AS remote FROM (""" + _STORE.format(orders="orders") + """) AS store) AS a) AS b""",
+)
+
+
+def checked_artifacts(lib: Library) -> DataFrame:
+    store = lib.spark.sql(_STORE, orders=lib.table("orders"))
+    onnx = store.select("model", F.lit("model.onnx").alias("file"), F.col("onnx").alias("length"))
+    csv = store.where("k % 10 <> 1").select("model", F.lit("selected_tags.csv").alias("file"), (F.col("k") % 2000).alias("length"))
+    recorded = F.col("onnx") + F.when(F.col("k") % 4 == 0, F.lit(1)).otherwise(F.lit(0))
+    revision = F.when(F.col("k") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("r"), (F.col("k") % 7).cast("string")))
+    text = F.format_string('{"model_name": "%s", "revision_sha": "%s", "files": {"model.onnx": {"size": %d}, "selected_tags.csv": {}}}', "model", revision, recorded)
+    manifests = read_manifests(store.where("k % 3 <> 0").select(text.alias("value")))
+    remote = store.where("k % 2 = 0").select("model", F.concat(F.lit("r"), (F.col("k") % 6).cast("string")).alias("remote_revision"))
+    return verify_artifacts(store.select("model"), onnx.unionByName(csv), manifests, remote=remote, supported=store.where("k % 13 <> 0"))
+
+
+@query(
+    "artifact_checks",
+    sql="SELECT model, ok, issues, manifest_present, local_revision, remote_revision FROM artifact_checks",
+)
+def artifact_checks(lib: Library) -> DataFrame:
+    found = checked_artifacts(lib)
+    return found.select("model", "ok", F.array_join("issues", "|").alias("issues"), "manifest_present", "local_revision", "remote_revision")
+
+
+@query("artifact_checks", sql="SELECT count(*) AS count, count(*) FILTER (WHERE ok) AS ok_count FROM artifact_checks")
+def artifact_summary(lib: Library) -> DataFrame:
+    return metrics.verify_summary(checked_artifacts(lib))

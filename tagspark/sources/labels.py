@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagspark.defaults import (
@@ -30,9 +32,12 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_labels(labels: DataFrame) -> DataFrame:
-    """Issues of a label table, one row each; no rows when it is sound."""
-    missing = [c for c in REQUIRED_LABEL_COLUMNS if c not in {c.strip() for c in labels.columns}]
+    """Issues of a label table, one row each; no rows when it is sound. An empty file has no header."""
+    named = {c.strip() for c in labels.columns} - {"label_idx", ""}
+    missing = [c for c in REQUIRED_LABEL_COLUMNS if c not in named]
     spark = labels.sparkSession
+    if not named:
+        return spark.range(1).select(F.lit("csv_missing_header").alias("issue"))
     if missing:
         return spark.range(1).select(F.lit(f"csv_missing_columns:{missing}").alias("issue"))
     few = labels.limit(MIN_LABEL_ROWS).agg(F.count("*").alias("n")).where(F.col("n") < MIN_LABEL_ROWS)
@@ -69,11 +74,14 @@ def verify_artifacts(
     manifests: DataFrame,
     label_issues: DataFrame | None = None,
     remote: DataFrame | None = None,
+    supported: Sequence[str] | DataFrame | None = None,
 ) -> DataFrame:
     """Per model: ok, issues, manifest_present, local_revision, remote_revision, stale.
 
     `label_issues` holds (model, issue) from `check_labels`, `remote` (model, remote_revision).
-    Revision issues are notes and do not make a model unsound.
+    Revision issues are notes and do not make a model unsound. `supported` holds the names of
+    known models, as a list or a table with `model`; any other one is an `unknown_model`, and
+    nothing else is said of it. Without it all models are known.
     """
     onnx, csv = REQUIRED_ARTIFACTS
     sizes = listing.groupBy("model").agg(
@@ -92,6 +100,12 @@ def verify_artifacts(
     else:
         joined = joined.withColumn("remote_revision", F.lit(None).cast("string"))
 
+    if isinstance(supported, DataFrame):
+        names = supported.select("model").distinct().withColumn("_known", F.lit(True))
+        joined = joined.join(names, "model", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    else:
+        joined = joined.withColumn("_known", F.lit(True) if supported is None else F.coalesce(F.col("model").isin(list(supported)), F.lit(False)))
+
     def issue(condition: Column, text: Column | str) -> Column:
         return F.when(condition, F.lit(text) if isinstance(text, str) else text)
 
@@ -116,14 +130,15 @@ def verify_artifacts(
             "manifest_missing_revision_cannot_compare_hub",
         ),
     )
-    hard = F.when(absent, F.array(F.lit("missing_required_files"))).otherwise(F.array_compact(found))
+    known, absent = F.col("_known"), absent | ~F.col("_known")
+    hard = F.when(~known, F.array(F.lit("unknown_model"))).when(absent, F.array(F.lit("missing_required_files"))).otherwise(F.array_compact(found))
     soft = F.when(absent, F.array().cast("array<string>")).otherwise(F.array_compact(notes))
     return joined.select(
         "model",
         (F.size(hard) == 0).alias("ok"),
         F.concat(hard, soft).alias("issues"),
-        F.coalesce("_manifest", F.lit(False)).alias("manifest_present"),
-        F.col("revision").alias("local_revision"),
+        (known & F.coalesce("_manifest", F.lit(False))).alias("manifest_present"),
+        F.when(known, F.col("revision")).alias("local_revision"),
         F.when(~absent, F.col("remote_revision")).alias("remote_revision"),
         F.when(~absent & stale, F.lit(True)).alias("stale"),
     )

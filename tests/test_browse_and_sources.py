@@ -144,6 +144,24 @@ def test_labels_and_their_checks(spark, tmp_path):
     assert got(labels.check_labels(read.drop("name", "tag_id"))) == [("csv_missing_columns:['name', 'tag_id']",)]
 
 
+def test_an_empty_label_file_has_no_header(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    assert got(labels.check_labels(labels.read_labels(spark, str(tmp_path / "empty.csv")))) == [("csv_missing_header",)]
+    (tmp_path / "bare.csv").write_text("tag_id,name,category,count\n")
+    assert got(labels.check_labels(labels.read_labels(spark, str(tmp_path / "bare.csv")))) == [("csv_too_few_rows:0",)]
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_unknown_models_are_only_that(spark, as_table):
+    models = table(spark, "model string", ("a",), ("b",))
+    listing = table(spark, "model string, file string, length bigint", ("a", "model.onnx", 10))
+    manifests = table(spark, "model string, revision string, sizes map<string,bigint>", ("a", "r", {}), ("b", "r", {}))
+    supported = table(spark, "model string", ("b",), ("b",), ("z",)) if as_table else ["b", "z"]
+    rows = {r["model"]: r for r in labels.verify_artifacts(models, listing, manifests, supported=supported).collect()}
+    assert (rows["a"]["ok"], rows["a"]["issues"], rows["a"]["manifest_present"], rows["a"]["local_revision"]) == (False, ["unknown_model"], False, None)
+    assert (rows["b"]["issues"], rows["b"]["manifest_present"]) == (["missing_required_files"], True)
+
+
 def test_verify_artifacts(spark):
     models = table(spark, "model string", ("good",), ("small",), ("absent",))
     listing = table(
