@@ -22,6 +22,8 @@ from tagspark.session import cut_lineage
 BLOCK_BYTES = 2_048
 # Bytes of distinct blocks that a task remembers in order to number repeats only once.
 MEMORY_BYTES = 32 << 20
+# Rows that a task cuts at a time.
+SLICE_ROWS = 1_000
 # Numbers are the task's number followed by a running number inside the task.
 TASK_BITS = 40
 
@@ -90,7 +92,8 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int, memory: int) -> Iterator[
     first = TaskContext.get().partitionId() << TASK_BITS
     rows = blocks = held = 0
     known: dict[bytes, int] = {}
-    for batch in batches:
+    slices = (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+    for batch in slices:
         texts = pc.fill_null(batch.column("tag_text"), "")
         chars = pc.utf8_length(texts)
         out_rows, digests, lists, new = [], [], [], []
