@@ -40,9 +40,9 @@ def duplicate_files(
 
     Texts are equal when they are identical after white space is deleted. Of equal texts the one
     with the most code points stays, then the smallest `file_id`. Returns file_id, keep_id,
-    group_size, kept, text_sha256 (of the text without white space), identity (an integer name)
+    group_size, kept, text_sha256 (of the text without white space), identity (an integer name),
     level (how often pairs were named; names are unique within a level) and, if `key` names a column
-of whole numbers, that column.
+    of whole numbers, that column.
 
     A null text counts as empty, all empty texts are one group. Rows that repeat a `file_id` count
     as rows, one of them stays. A null `file_id` comes after all others. An empty table gives an
