@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagspark.defaults import PAGE_SIZE
 from tagspark.functions.text import normalize_text, service_label
 from tagspark.operators.ordered import neighbours_of, with_ordinal
+from tagspark.operators.pages import PageIndex
 from tagspark.operators.skew import lookup_join
 
 PREVIEW_IDS = 500
@@ -83,7 +84,7 @@ def search_files(
 
 
 def paginate(df: DataFrame, order: Sequence[str | Column], page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page (from 0) of an ordered table."""
+    """One page (from 0) of an ordered table, for the first few; deep ones take a `PageIndex`."""
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
@@ -92,9 +93,12 @@ def select_range(ordered: DataFrame, a: int, b: int) -> DataFrame:
     return ordered.where(F.col("pos").between(min(a, b), max(a, b)))
 
 
-def select_page(ordered: DataFrame, selected: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """The selection plus every id on the page."""
-    return selected.select("file_id").union(paginate(ordered, ["pos"], page, size).select("file_id")).distinct()
+def select_page(
+    ordered: DataFrame | PageIndex, selected: DataFrame, page: int, size: int = PAGE_SIZE
+) -> DataFrame:
+    """The selection plus every id on the page, of a table ordered by `pos` or of its index."""
+    rows = ordered.page(page, size) if isinstance(ordered, PageIndex) else paginate(ordered, ["pos"], page, size)
+    return selected.select("file_id").union(rows.select("file_id")).distinct()
 
 
 def ordered_selection(ordered: DataFrame, selected: DataFrame) -> DataFrame:

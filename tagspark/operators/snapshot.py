@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # ---- fixed values: which event kinds may set which keys ------------------------------------
 _PROGRESS_KEYS = (
@@ -98,26 +98,63 @@ def payload_columns(events: DataFrame, keys: Sequence[str], payload: str = "payl
     )
 
 
+def _values(keys: Sequence[str]) -> dict[str, Column]:
+    """What an event sets, null where it may not set it."""
+    kind = F.col("type")
+    stopping = kind.isin(*STOP_SOURCE)
+    values = {
+        "phase": _mapped(kind, EVENT_PHASE),
+        "stopping_source": _mapped(kind, STOP_SOURCE),
+        "detail": F.when(stopping, F.coalesce("message", F.lit(""))),
+    }
+    for key in keys:
+        allowed = [k for k, names in EVENT_KEYS.items() if key in names]
+        values[key] = F.when(kind.isin(*allowed), F.col(key))
+    return values
+
+
 def snapshot_folds(keys: Sequence[str]) -> list[Column]:
     """Aggregates that keep, per key, the value of the last event allowed to set it.
 
     They merge, so a session with very many events is folded before the shuffle; and they serve
     batch and streaming alike.
     """
-    kind, seq = F.col("type"), F.col("seq")
+    seq = F.col("seq")
+    folds = [F.max("seq").alias("last_seq"), F.max_by("ts", "seq").alias("updated_at")]
+    return folds + [F.max_by(v, F.when(v.isNotNull(), seq)).alias(name) for name, v in _values(keys).items()]
 
-    def latest(value: Column, name: str) -> Column:
-        return F.max_by(value, F.when(value.isNotNull(), seq)).alias(name)
 
-    folds = [F.max("seq").alias("last_seq"), F.max_by("ts", "seq").alias("updated_at")]
-    folds.append(latest(_mapped(kind, EVENT_PHASE), "phase"))
-    folds.append(latest(_mapped(kind, STOP_SOURCE), "stopping_source"))
-    stopping = kind.isin(*STOP_SOURCE)
-    folds.append(latest(F.when(stopping, F.coalesce("message", F.lit(""))), "detail"))
-    for key in keys:
-        allowed = [k for k, names in EVENT_KEYS.items() if key in names]
-        folds.append(latest(F.when(kind.isin(*allowed), F.col(key)), key))
-    return folds
+def snapshot_parts(keys: Sequence[str]) -> list[Column]:
+    """The same folds with the seq of each value beside it, so that parts of a session merge exactly."""
+    values = {"updated_at": F.col("ts"), **_values(keys)}
+    parts = [F.max(F.when(v.isNotNull(), F.struct("seq", v.alias("value")))).alias(n) for n, v in values.items()]
+    return [F.max("seq").alias("last_seq"), *parts, F.min("ts").alias("first_at"), F.max("ts").alias("last_at")]
+
+
+def merge_parts(
+    parts: DataFrame, keys: Sequence[str], idle: str | None = None, group: str = "session_id"
+) -> DataFrame:
+    """One row per session, as `session_snapshot` has it, from parts of its time windows.
+
+    A part may be there several times, as an update-mode stream writes it; the fullest one wins.
+    With `idle` (an interval, at least as long as a window) a session that did nothing for longer
+    starts anew: only what came after its last such pause counts. A null session is one session.
+    """
+    names = ["updated_at", *_values(keys)]
+    folds = [F.max("last_seq").alias("last_seq"), *[F.max(n).alias(n) for n in names]]
+    rows = parts
+    if idle is not None:
+        # One row per session and window, far fewer than events.
+        whole = parts.groupBy(group, "window_start").agg(
+            *folds, F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+        )
+        along = Window.partitionBy(group).orderBy("window_start")
+        pause = F.col("first_at") > F.lag("last_at").over(along) + F.expr(f"INTERVAL {idle}")
+        began = whole.withColumn("_began", F.when(pause, F.col("window_start")))
+        last = F.max("_began").over(Window.partitionBy(group))
+        rows = began.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("window_start") >= F.col("_last")))
+    merged = rows.groupBy(group).agg(*folds)
+    return merged.select(group, "last_seq", *[F.col(n)["value"].alias(n) for n in names])
 
 
 def session_snapshot(events: DataFrame, keys: Sequence[str], group: str = "session_id") -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagspark.functions import taglists
 from tagspark.operators import browse, diff
+from tagspark.operators.pages import PageIndex
 from tagspark.plans.library import Library
 from tagspark.plans.registry import norm, part, query
 from tagspark.sources import metadata
 
 PAGE, PAGE_SIZE = 2, 50
+DEEP_PAGE = 20
+QUEUE_RANGE = 20_000
 
 part("chosen", "SELECT file_id FROM files WHERE mime = 'video/mp4'", "files")
 part("page", f"SELECT pos, file_id FROM queue ORDER BY pos LIMIT {PAGE_SIZE} OFFSET {PAGE * PAGE_SIZE}", "queue")
@@ -45,7 +48,12 @@ def search_excluding(lib: Library) -> DataFrame:
 
 @query("page", sql="SELECT pos, file_id FROM page")
 def paginate(lib: Library) -> DataFrame:
-    return browse.paginate(lib.queue, ["pos"], PAGE, PAGE_SIZE)
+    return PageIndex(lib.queue, ["pos"], range_rows=QUEUE_RANGE).page(PAGE, PAGE_SIZE)
+
+
+@query("queue", sql=f"SELECT pos, file_id FROM queue ORDER BY pos DESC LIMIT {PAGE_SIZE} OFFSET {DEEP_PAGE * PAGE_SIZE}")
+def paginate_deep(lib: Library) -> DataFrame:
+    return PageIndex(lib.queue, [F.col("pos").desc()], range_rows=QUEUE_RANGE).page(DEEP_PAGE, PAGE_SIZE)
 
 
 @query("queue", sql="SELECT pos, file_id FROM queue WHERE pos BETWEEN 40 AND 400")
@@ -55,7 +63,8 @@ def select_range(lib: Library) -> DataFrame:
 
 @query("page", "chosen", sql="SELECT file_id FROM page UNION SELECT file_id FROM chosen")
 def select_page(lib: Library) -> DataFrame:
-    return browse.select_page(lib.queue, chosen(lib), PAGE, PAGE_SIZE)
+    index = PageIndex(lib.queue, ["pos"], range_rows=QUEUE_RANGE)
+    return browse.select_page(index, chosen(lib), PAGE, PAGE_SIZE)
 
 
 @query("queue", "chosen", sql="SELECT pos, file_id FROM queue WHERE file_id IN (SELECT file_id FROM chosen)")

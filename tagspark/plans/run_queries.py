@@ -225,7 +225,7 @@ def _latest(kinds: tuple[str, ...], value: str = "k") -> str:
     return f"arg_max({value}, seq) FILTER (WHERE type IN ({listed}))"
 
 
-SNAPSHOT_SQL = f"""SELECT session_id, max(seq) AS last_seq, arg_max(ts, seq) AS updated_at,
+_SNAPSHOT = f"""SELECT session_id, max(seq) AS last_seq, arg_max(ts, seq) AS updated_at,
     arg_max(CASE WHEN type IN ('stopping', 'server_shutting_down') THEN 'stopping' WHEN type IN ('complete', 'stopped') THEN 'finishing'
       ELSE 'tagging' END, seq) AS phase,
     {_latest(('stopping', 'server_shutting_down'), "CASE type WHEN 'stopping' THEN 'user' ELSE 'server' END")} AS stopping_source,
@@ -233,7 +233,23 @@ SNAPSHOT_SQL = f"""SELECT session_id, max(seq) AS last_seq, arg_max(ts, seq) AS
     {_latest(('progress', 'file'))} AS current, {_latest(('queue_plan',))} AS queue_total,
     {_latest(('tags_applied',))} AS pending_remaining, {_latest(('progress', 'file', 'tags_applied', 'complete', 'stopped'))} AS total_applied,
     {_latest(('stopping',))} AS pending_hydrus_queue, {_latest(('progress', 'file', 'complete', 'stopped'))} AS batches_completed
-    FROM session_events GROUP BY session_id"""
+    FROM """
+SNAPSHOT_SQL = f"{_SNAPSHOT} session_events GROUP BY session_id"
+
+# Events after the last pause of more than a day of their session.
+part(
+    "paused_events",
+    """SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) > INTERVAL 1 DAY THEN ts END AS began
+    FROM session_events""",
+    "session_events",
+)
+part(
+    "live_events",
+    """SELECT * FROM (SELECT *, max(began) OVER (PARTITION BY session_id) AS last FROM paused_events)
+    WHERE last IS NULL OR ts >= last""",
+    "paused_events",
+)
+LIVE_SNAPSHOT_SQL = f"{_SNAPSHOT} live_events GROUP BY session_id"
 
 
 @query("session_events", sql=SNAPSHOT_SQL)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tagspark.operators.snapshot import merge_parts
 from tagspark.plans.library import Library
 from tagspark.plans.queue_queries import RULES, SERVICE
 from tagspark.plans.registry import query
-from tagspark.plans.run_queries import DIGEST_SQL, SNAPSHOT_KEYS, SNAPSHOT_SQL, event_rows
+from tagspark.plans.run_queries import DIGEST_SQL, LIVE_SNAPSHOT_SQL, SNAPSHOT_KEYS, SNAPSHOT_SQL, event_rows
 from tagspark.session import fresh_path
 from tagspark.streaming import apply, monitors
 from tagspark.streaming.tables import BATCH, latest_rows, read_stream, write_batches, written
@@ -86,3 +87,15 @@ def stream_snapshot(lib: Library) -> DataFrame:
     write_batches(monitors.stream_snapshot(events, SNAPSHOT_KEYS), path, state, mode="update")
     return latest_rows(lib.spark, path, ["session_id"])
 
+
+# The given events lie in no order of time, so nothing is late only beyond the days they span.
+EVENT_DAYS = "60 days"
+
+
+@query("live_events", sql=LIVE_SNAPSHOT_SQL)
+def stream_snapshot_live(lib: Library) -> DataFrame:
+    """Sessions as they are after their last pause of more than a day."""
+    path, state = _paths(lib, "snapshot-parts")
+    events = event_rows(lib.view("session_events", events=arriving(lib, "events")))
+    write_batches(monitors.stream_snapshot_parts(events, SNAPSHOT_KEYS, watermark=EVENT_DAYS), path, state, mode="update")
+    return merge_parts(written(lib.spark, path), SNAPSHOT_KEYS, idle="1 day")

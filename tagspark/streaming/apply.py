@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagspark.functions.text import normalize_tag
 from tagspark.operators.diff import filter_new_tags
+from tagspark.streaming.folding import FOLD_ROWS, fold_repeats
 from tagspark.streaming.keytable import BUCKETS, FANOUT, BucketTable, KeyLog, touched
 from tagspark.streaming.tables import BATCH, write_batches, written
 
@@ -86,10 +87,18 @@ def flush_held(stored: DataFrame, service_key: str, path: str, flush_id: int) ->
     return spark.read.parquet(f"{path}/{BATCH}={flush_id}")
 
 
-def stream_new_tags(proposals: DataFrame, event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """Each (file_id, tag_norm) at most once within the watermark delay."""
-    keyed = proposals.withColumn("tag_norm", normalize_tag("tag")).withWatermark(event_time, delay)
-    return keyed.dropDuplicatesWithinWatermark(["file_id", "tag_norm"])
+def stream_new_tags(
+    proposals: DataFrame, event_time: str, delay: str = "10 minutes", fold_rows: int = FOLD_ROWS
+) -> DataFrame:
+    """(file_id, tag_norm, event time): each (file_id, tag_norm) at most once within the watermark delay.
+
+    Repeats are folded in their task first, so that a tag in most rows of a micro-batch sends a few
+    rows to the task that keeps its state. The latest of folded times stands for them: it is late
+    only if all of them are, and the watermark moves as it would have.
+    """
+    keyed = proposals.withColumn("tag_norm", normalize_tag("tag"))
+    once = fold_repeats(keyed, ["file_id", "tag_norm"], event_time, fold_rows).withWatermark(event_time, delay)
+    return once.dropDuplicatesWithinWatermark(["file_id", "tag_norm"])
 
 
 def run_new_tags(proposals: DataFrame, event_time: str, delay: str, path: str, checkpoint: str) -> None:

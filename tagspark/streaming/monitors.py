@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tagspark.functions.loglines import digest_counters, log_fields
 from tagspark.operators.metrics import batch_summary
 from tagspark.operators.planning import SkipRules, skip_decisions
-from tagspark.operators.snapshot import session_snapshot
+from tagspark.operators.snapshot import session_snapshot, snapshot_parts
 from tagspark.streaming.keytable import BUCKETS, BucketTable, touched
 from tagspark.streaming.tables import write_batches
 
@@ -20,10 +20,29 @@ def stream_progress(results: DataFrame, group: Sequence[str] = ("session_id",))
 
 
 def stream_snapshot(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Latest state per session: the same merging folds as the batch form, kept as state."""
+    """Latest state per session: the same merging folds as the batch form, kept as state.
+
+    Nothing leaves this state; a stream without end takes `stream_snapshot_parts`.
+    """
     return session_snapshot(events, keys)
 
 
+def stream_snapshot_parts(
+    events: DataFrame, keys: Sequence[str], window: str = "1 hour", watermark: str = "1 hour"
+) -> DataFrame:
+    """Parts of session snapshots, one per session and time window of `ts` (a timestamp).
+
+    A part leaves the state once the watermark has passed its window, so the state holds sessions
+    of the last windows only, and idle ones are gone. Events later than that are dropped; later
+    ones of an idle session make a new part. `snapshot.merge_parts` puts the written parts together,
+    which gives whole snapshots however long a session is, or with `idle` those that live on.
+    Events of a busy session are folded before the shuffle. Rows without a time are left out.
+    """
+    timed = events.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", watermark)
+    parts = timed.groupBy("session_id", F.window("_at", window).alias("_span")).agg(*snapshot_parts(keys))
+    return parts.withColumn("window_start", F.col("_span.start")).drop("_span")
+
+
 def stream_log_digest(
     lines: DataFrame, window: str = "10 minutes", watermark: str | None = None, group: Sequence[str] = ()
 ) -> DataFrame:

@@ -13,9 +13,10 @@ from tagspark.functions.text import normalize_tag
 from tagspark.operators.diff import filter_new_tags
 from tagspark.operators.planning import SkipRules, skip_decisions
 from tagspark.operators.sessions import log_digest
-from tagspark.operators.snapshot import session_snapshot
+from tagspark.operators.snapshot import merge_parts, session_snapshot
 from tagspark.plans.run_queries import SNAPSHOT_KEYS, event_rows
 from tagspark.streaming import apply, monitors
+from tagspark.streaming.folding import fold_repeats
 from tagspark.streaming.tables import BATCH, latest_rows, write_batches, written
 
 PROPOSED = "file_id bigint, pos bigint, tag string"
@@ -90,6 +91,86 @@ def test_each_tag_is_announced_once(spark, places, proposed):
     assert got(written(spark, path), "file_id", "tag_norm") == got(wanted)
 
 
+def test_a_tag_in_most_rows_is_folded_before_the_state(spark, places):
+    path, state, folder = places
+    rows = spark.range(8_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(7)).alias("file_id"),
+        F.lit("Hot_Tag").alias("tag"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") % 50).alias("at"),
+    )
+    stream = staged(spark, rows, folder)
+    out = (
+        apply.stream_new_tags(stream, "at", "1 hour")
+        .writeStream.option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .format("parquet")
+        .option("path", path)
+        .start()
+    )
+    out.awaitTermination()
+    assert got(spark.read.parquet(path), "file_id") == sorted([(7,), *[(i,) for i in range(0, 8_000, 10)]], key=repr)
+    dropped = [s.customMetrics["numDroppedDuplicateRows"] for p in out.recentProgress for s in p.stateOperators]
+    # Four micro-batches of one file: the tag in nine of ten rows reaches the state once per task.
+    assert sum(dropped) < 40
+
+
+@pytest.mark.parametrize("fold_rows", [1, 5, 1_000])
+def test_folding_keeps_every_key_and_its_latest_time(spark, fold_rows):
+    rows = [(i % 9 if i % 4 else None, i) for i in range(200)]
+    df = table(spark, "file_id bigint, at bigint", *rows).repartition(3)
+    folded = fold_repeats(df, ["file_id"], "at", fold_rows).groupBy("file_id").agg(F.max("at"))
+    latest = {k: max(at for other, at in rows if other == k) for k, _ in rows}
+    assert got(folded) == sorted(latest.items(), key=repr)
+    assert fold_repeats(df.limit(0), ["file_id"], "at", fold_rows).collect() == []
+
+
+def timed_events(spark, *rows):
+    events = table(spark, "session_id bigint, seq bigint, at bigint, type string, k bigint", *rows)
+    return event_rows(events.withColumn("ts", F.timestamp_seconds("at")))
+
+
+def test_parts_of_snapshots_merge_to_the_whole(spark, places):
+    path, state, folder = places
+    kinds = ["queue_plan", "progress", "file", "tags_applied", "stopping", "complete"]
+    # Sessions of many hours, events in no order of time, a session without id.
+    made = [(None if i % 7 == 6 else i % 7, i, (i * 1_237) % 90_000, kinds[(i * 5) % 6], i * 3) for i in range(300)]
+    rows = timed_events(spark, *made)
+    parts = monitors.stream_snapshot_parts(staged(spark, rows, folder), SNAPSHOT_KEYS, "1 hour", "2 days")
+    write_batches(parts, path, state, mode="update")
+    wanted = session_snapshot(rows, SNAPSHOT_KEYS)
+    assert got(merge_parts(written(spark, path), SNAPSHOT_KEYS), *wanted.columns) == got(wanted)
+
+
+def test_idle_sessions_leave_the_state_and_start_anew(spark, places):
+    path, state, folder = places
+    hour = 3_600
+    day = [(s, 1, (1 + s) * hour, "queue_plan", s) for s in range(24)]
+    # The first session comes back ten hours after all others; one event is far too late.
+    later = [(0, 2, 35 * hour, "progress", 5), (1, 9, 3 * hour, "stopping", 9), (2, 2, 35 * hour, "progress", 6)]
+    for n, rows in enumerate([day[:8], day[8:16], day[16:], later[:1], [later[1], later[2]]]):
+        timed_events(spark, *rows).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(timed_events(spark, *day[:1]).schema).parquet(str(folder))
+        query = (
+            monitors.stream_snapshot_parts(stream, SNAPSHOT_KEYS)
+            .writeStream.outputMode("update")
+            .option("checkpointLocation", state)
+            .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/{BATCH}={i}"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        kept = query.lastProgress.stateOperators[0].numRowsTotal
+        # No more than the sessions of one step and the watermark's hour.
+        assert kept <= 9, n
+    assert kept == 2
+    whole = {r["session_id"]: r for r in merge_parts(written(spark, path), SNAPSHOT_KEYS).collect()}
+    assert len(whole) == 24
+    assert (whole[0]["queue_total"], whole[0]["current"], whole[0]["last_seq"]) == (0, 5, 2)
+    assert whole[1]["pending_hydrus_queue"] is None
+    live = {r["session_id"]: r for r in merge_parts(written(spark, path), SNAPSHOT_KEYS, idle="4 hours").collect()}
+    assert (live[0]["queue_total"], live[0]["current"], live[3]["queue_total"]) == (None, 5, 3)
+
+
 def test_skip_plan_of_arriving_files(spark, places, stored):
     path, state, folder = places
     queue = table(spark, "pos bigint, file_id bigint", *[(i, i % 60) for i in range(120)])
@@ -147,7 +228,7 @@ def folders(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["stream_apply", "stream_progress", "stream_skip_plan", "stream_log_digest", "stream_snapshot", "stream_new_tags"])
+@pytest.mark.parametrize("name", ["stream_apply", "stream_progress", "stream_skip_plan", "stream_log_digest", "stream_snapshot", "stream_snapshot_live", "stream_new_tags"])
 def test_streams_over_folders_equal_those_over_files(spark, folders, name, monkeypatch):
     """One file per micro-batch gives the same rows as one file with everything."""
     from tagspark.plans import catalog, stream_queries
