@@ -236,10 +236,10 @@ _SNAPSHOT = f"""SELECT session_id, max(seq) AS last_seq, arg_max(ts, seq) AS upd
     FROM """
 SNAPSHOT_SQL = f"{_SNAPSHOT} session_events GROUP BY session_id"
 
-# Events after the last pause of more than a day of their session.
+# Events after the last pause of more than 15 minutes of their session.
 part(
     "paused_events",
-    """SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) > INTERVAL 1 DAY THEN ts END AS began
+    """SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) > INTERVAL 15 MINUTE THEN ts END AS began
     FROM session_events""",
     "session_events",
 )

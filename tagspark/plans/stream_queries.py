@@ -88,14 +88,15 @@ def stream_snapshot(lib: Library) -> DataFrame:
     return latest_rows(lib.spark, path, ["session_id"])
 
 
-# The given events lie in no order of time, so nothing is late only beyond the days they span.
+# Files of a table may come in any order of time; nothing is late within the days that the events span.
 EVENT_DAYS = "60 days"
 
 
 @query("live_events", sql=LIVE_SNAPSHOT_SQL)
 def stream_snapshot_live(lib: Library) -> DataFrame:
-    """Sessions as they are after their last pause of more than a day."""
+    """Sessions as they are after their last pause of more than 15 minutes."""
     path, state = _paths(lib, "snapshot-parts")
     events = event_rows(lib.view("session_events", events=arriving(lib, "events")))
-    write_batches(monitors.stream_snapshot_parts(events, SNAPSHOT_KEYS, watermark=EVENT_DAYS), path, state, mode="update")
-    return merge_parts(written(lib.spark, path), SNAPSHOT_KEYS, idle="1 day")
+    parts = monitors.stream_snapshot_parts(events, SNAPSHOT_KEYS, "5 minutes", EVENT_DAYS)
+    write_batches(parts, path, state, mode="update")
+    return merge_parts(written(lib.spark, path), SNAPSHOT_KEYS, idle="15 minutes")
