@@ -23,6 +23,8 @@ from tagspark.llm.tokens import encoder
 END_ID = 2
 # Ids in a block before it is closed; only a longer text makes a longer block.
 BLOCK_IDS = 1 << 20
+# Characters of a text that bound a range of rows with one id.
+BOUND_CHARS = 100
 # Small row groups let readers split a file between blocks.
 GROUP_BYTES = 16 << 20
 
@@ -52,12 +54,15 @@ def write_token_files(
 
     Texts are encoded by the vocabulary file at `vocabulary` and followed by `end_id`. They stand
     in ascending order of `file_id`, null ids first; rows that repeat an id stand next to each
-    other in the order of their texts. A null text counts as empty and is its end id alone. An
-    empty table gives a folder without blocks. Further columns are ignored.
+    other in the order of their texts. An id may be very many rows: ranges are bounded by id and
+    the start of the text, so that only rows equal in both share one. A null text counts as empty
+    and is its end id alone. An empty table gives a folder without blocks. Further columns are
+    ignored.
     """
+    # Bounds are sampled; the start of a text keeps the sample small, and sorts as the text does.
     ranged = (
         files.select("file_id", whole_text().alias("tag_text"))
-        .repartitionByRange("file_id")
+        .repartitionByRange("file_id", F.substring("tag_text", 1, BOUND_CHARS))
         .sortWithinPartitions("file_id", "tag_text")
         .withColumn("shard", F.spark_partition_id())
     )
@@ -141,7 +146,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 def _read(batches, with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in batch.to_pylist():
-            ends = elias_fano.EliasFano(block["ends"]).all().astype(np.int64)
+            coded = elias_fano.EliasFano(block["ends"])
+            ends = np.array([coded.select(i) for i in range(len(coded))], np.int64)
             starts = np.concatenate([[0], ends[:-1]])
             apart = elias_fano.EliasFano(block["files"]).all()
             files = [None] * block["n_nulls"] + [block["first_file"] + int(x) for x in apart]

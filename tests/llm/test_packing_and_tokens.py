@@ -8,9 +8,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import got
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tagspark.llm import elias_fano, packing, token_files
@@ -137,6 +139,29 @@ def test_token_files_give_all_ids_back(spark, tokenizer, odd_files, block_ids):
     assert singly == [bytes(r["ids"]) for r in found]
 
 
+def test_one_id_in_half_of_all_rows_is_spread(spark, tokenizer):
+    texts = [words(i, 6) for i in range(2_000)]
+    df = files(spark, *[(None if i % 2 else i, text, None) for i, text in enumerate(texts)])
+    path = fresh_path(spark, "token-test")
+    token_files.write_token_files(df, path, VOCABULARY)
+    found = token_files.read_token_files(spark, path, with_ids=True)
+    most = spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n")).agg(F.max("n") / F.sum("n")).first()[0]
+    shards = spark.read.parquet(path).select("shard").distinct().count()
+    assert most < 2 / shards
+    nulls = [bytes(r["ids"]) for r in found.where("file_id IS NULL").orderBy("start").collect()]
+    assert nulls == [np.array(ids_of(tokenizer, t, 2), "<u4").tobytes() for t in sorted(texts[1::2])]
+
+
+def test_reading_decodes_no_list_of_ends(spark, monkeypatch):
+    block = token_files._block(0, 0, [(i, np.arange(i + 1, dtype="<u4").tobytes()) for i in range(200)]).to_pylist()[0]
+    decoded = []
+    whole = elias_fano.EliasFano.all
+    monkeypatch.setattr(elias_fano.EliasFano, "all", lambda coded: decoded.append(len(coded.high)) or whole(coded))
+    rows = next(token_files._read([pa.RecordBatch.from_pylist([block], schema=token_files._BLOCK)], False))
+    assert rows.column("n_tokens").to_pylist() == list(range(1, 201))
+    assert decoded == [len(elias_fano.EliasFano(block["files"]).high)]
+
+
 def test_token_files_of_nothing(spark, no_files):
     path = fresh_path(spark, "token-test")
     token_files.write_token_files(no_files, path, VOCABULARY)
