@@ -183,17 +183,48 @@ def test_verify_artifacts(spark):
     assert (rows["absent"]["ok"], rows["absent"]["issues"], rows["absent"]["manifest_present"]) == (False, ["missing_required_files"], False)
 
 
-@pytest.mark.parametrize("whole", [True, False])
-def test_run_logs_split_like_python(spark, tmp_path, whole):
-    text = "one\r\ntwo\x0bthree\n\nfour five\x85six\x1cseven\neight\n"
+@pytest.fixture(params=["7b", "40b", "128m"])
+def block_bytes(spark, request):
+    """Files in many blocks, in a few, or in one."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield request.param
+    spark.conf.set(key, before)
+
+
+def test_run_logs_split_like_python(spark, tmp_path, block_bytes):
+    text = "one\r\ntwo\x0bthree\n\nfour five\x85six\x1cseven\neight\n"
     (tmp_path / "run-1.log").write_bytes(text.encode() + b"bad \xff byte\n")
     (tmp_path / "run-2.log").write_text("a\nb")
-    rows = runlogs.read_run_logs(spark, str(tmp_path), whole_files=whole)
+    rows = runlogs.read_run_logs(spark, str(tmp_path))
     first = [r["line"] for r in rows.where("run_id = 'run-1'").orderBy("line_no").collect()]
     assert first == [*text.splitlines(), "bad � byte"]
     assert got(rows.where("run_id = 'run-2'"), "line_no", "line") == [(0, "a"), (1, "b")]
 
 
+def test_ends_and_blocks_of_run_logs(spark, tmp_path, block_bytes):
+    """Every kind of last line, and breaks of two bytes across the edges of blocks."""
+    bodies = ["", "\n", "a", "\n\n"]
+    ends = ["", "\n", "\r", "\r\n", "\r\r", "\x0b", "\x0b\n", "\x0b\r\n", "\u2028", "x\x0b\x0b", "\n\x0b", "\n\r"]
+    texts = [b + e for b in bodies for e in ends]
+    texts += ["".join(f"line {i}" + "x" * (i % 5) + "\r\n" for i in range(60)), "é\u2029ü" * 40 + "\r\n" + "ö\n"]
+    wanted = []
+    for n, text in enumerate(texts):
+        (tmp_path / f"r{n}.log").write_bytes(text.encode())
+        wanted += [(f"r{n}", i, line) for i, line in enumerate(text.splitlines())]
+    rows = runlogs.read_run_logs(spark, str(tmp_path))
+    assert got(rows, "run_id", "line_no", "line") == sorted(wanted, key=repr)
+
+
+def test_run_logs_of_one_name_in_two_folders_are_numbered_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "run.log").write_text("x\ny\n")
+    rows = runlogs.read_run_logs(spark, str(tmp_path / "*"))
+    assert got(rows, "line_no", "line") == [(0, "x"), (0, "x"), (1, "y"), (1, "y")]
+
+
 def test_media_routes(spark, tmp_path):
     (tmp_path / "7.png").write_bytes(b"abc")
     row = media.read_media(spark, str(tmp_path), "*.png").first()
