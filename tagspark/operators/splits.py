@@ -13,7 +13,6 @@ from tagspark.defaults import (
 from tagspark.functions.numbers import fraction_of
 from tagspark.operators.ordered import running_totals, with_ordinal
 from tagspark.operators.skew import lookup_join
-from tagspark.session import cut_lineage
 
 
 def _within(n: Column, wanted: Column) -> Column:
@@ -76,11 +75,17 @@ def learning_size_bytes(
             "split_index",
             "learning_count",
         )
-    return _size_info(cut_lineage(sized_queue(queue, files), "sized-queue"), share, cap)
+    return _size_info(_along_sizes(queue, files), share, cap)
 
 
-def _size_info(sized: DataFrame, share: float, cap: int | None) -> DataFrame:
-    totals = sized.agg(
+def _along_sizes(queue: DataFrame, files: DataFrame) -> DataFrame:
+    """Queue rows with their size, and rows and bytes up to each; dealt into ranges and written once."""
+    sums = {"_seen": F.lit(1).cast("bigint"), "_bytes": F.col("size")}
+    return running_totals(sized_queue(queue, files), "pos", sums)
+
+
+def _size_info(along: DataFrame, share: float, cap: int | None) -> DataFrame:
+    totals = along.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("size").isNull()).alias("unsized"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
@@ -92,11 +97,8 @@ def _size_info(sized: DataFrame, share: float, cap: int | None) -> DataFrame:
         .alias("fallback"),
         F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("total_bytes"))).alias("target_bytes"),
     )
-    along = running_totals(
-        sized, "pos", {"seen": F.lit(1).cast("bigint"), "bytes": F.col("size")}
-    )
     target = totals.select("target_bytes").scalar()
-    reached = along.agg(F.min(F.when(F.col("bytes") >= target, F.col("seen"))).alias("k"))
+    reached = along.agg(F.min(F.when(F.col("_bytes") >= target, F.col("_seen"))).alias("k"))
     by_bytes = _within(F.col("n"), F.coalesce(reached.scalar(), F.col("n")))
     counting = F.col("fallback").isNotNull()
     return totals.select(
@@ -116,14 +118,15 @@ def learning_split_bytes(
 ) -> DataFrame:
     """Queue rows with ordinal and segment; the learning part ends where the size share is reached.
 
-    The totals, the running sizes and the rows themselves all need the sizes, so the queue with its
-    sizes is written once.
+    The totals, the place where the share is reached and the ordinals all come from one table of
+    ranges.
     """
     if files is None:
         return learning_split(queue, fraction, cap)
-    sized = cut_lineage(sized_queue(queue, files), "sized-queue")
-    size = _size_info(sized, fraction_of(fraction), cap).select("learning_count").scalar()
-    return _segments(with_ordinal(sized.drop("size"), "pos"), size)
+    along = _along_sizes(queue, files)
+    size = _size_info(along, fraction_of(fraction), cap).select("learning_count").scalar()
+    rows = along.withColumn("ordinal", F.col("_seen") - 1)
+    return _segments(rows.select(*queue.columns, "ordinal"), size)
 
 
 def _as_col(value: int | Column) -> Column:
